@@ -48,6 +48,8 @@ _KEPT[:48] = _KEPT[58:65] = _KEPT[91:97] = _KEPT[123:128] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _CHUNK = 1 << 16
+#: Bytes of text that are taken apart at once.
+_PART = 2 << 20
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     mark = np.zeros(len(data) + 1, bool)
     mark[start[head]] = True
     keep = _KEPT[data]
-    unit = np.cumsum(mark[:-1]) - 1
+    unit = np.cumsum(mark[:-1], dtype=np.int32) - 1
     body, owner = _FOLD[data[keep]], unit[keep]
     length = np.bincount(owner, minlength=len(head)) + 2
     begin = np.concatenate([[0], np.cumsum(length)])
@@ -131,11 +133,15 @@ class Model:
                 out[i] = top.max(), top.sum() / 3 + self.bias * (3 - len(top)) / 3, np.log1p((own > 0.5).sum()), np.log1p(len(own))
         return out
 
+    def all_evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """`evidence`, in parts of bounded size."""
+        return np.concatenate([np.empty((0, 4)), *[self.evidence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in C.runs_of(offsets, _PART)]])
+
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.line[0] + evidence @ self.line[1:], -60, 60)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Newton's steps of a ridge logistic regression with a free constant."""
     x = np.column_stack([np.ones(len(x)), x])
     w, hold = np.zeros(x.shape[1]), np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
@@ -166,14 +172,18 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray
 class Sample:
     """Labelled texts as sets of numbered units."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray):
-        column = pa.array(texts, pa.string())
-        stream, begin, first = units(*C.utf8(column))
-        rows = pa.BinaryArray.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(stream)])
-        coded = pc.dictionary_encode(rows)
-        code = coded.indices.to_numpy()
-        self.names = coded.dictionary
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray):
+        rows, bounds, past = [], [np.zeros(1, np.int64)], 0
+        for a, b in C.runs_of(offsets, _PART):
+            stream, begin, first = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            rows.append(pa.BinaryArray.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype(np.int32)), pa.py_buffer(stream)]))
+            bounds.append(first[1:] + past)
+            past += len(begin) - 1
+        coded = pa.chunked_array(rows, pa.binary()).dictionary_encode().unify_dictionaries()
+        code = np.concatenate([np.empty(0, np.int32), *[c.indices.to_numpy() for c in coded.chunks]])
+        self.names = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.binary())
         self.toxic = toxic
+        first = np.concatenate(bounds)
         self.units = [np.unique(code[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
     def stream(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,18 +262,17 @@ def _weights(sample: Sample, docs: np.ndarray, seed: int) -> tuple[np.ndarray, f
     return weight, bias
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> Model:
+def fit(texts: list[str | None] | pa.ChunkedArray, toxic: list[int]) -> Model:
     """Trains on labelled texts. Without both labels: the prior alone."""
     label = np.array(toxic, bool)
-    texts = [t or "" for t in texts]
     prior = np.log((label.sum() + 0.5) / ((~label).sum() + 0.5)) if len(label) else -3.0
-    blank = Model(np.zeros(1 << TABLE_BITS), 0.0, np.array([prior, 0.0, 0.0, 0.0, 0.0]))
+    blank = Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, np.array([prior, 0.0, 0.0, 0.0, 0.0]))
     if min(label.sum(), (~label).sum()) < 2:
         return blank
-    sample = Sample(texts, label)
-    if not len(sample.names) or not any(len(sample.units[i]) for i in np.flatnonzero(label)) or not any(len(sample.units[i]) for i in np.flatnonzero(~label)):
+    data, offsets = C.utf8(texts if isinstance(texts, pa.ChunkedArray) else pa.array(texts, pa.string()))
+    sample = Sample(data, offsets, label)
+    if not any(len(sample.units[i]) for i in np.flatnonzero(label)) or not any(len(sample.units[i]) for i in np.flatnonzero(~label)):
         return blank
-    data, offsets = C.utf8(pa.array(texts, pa.string()))
     fold = np.zeros(len(label), int)
     for kind in (True, False):
         own = np.flatnonzero(label == kind)
@@ -271,7 +280,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     evidence = np.zeros((len(label), 4))
     for k in (0, 1):
         weight, bias = _weights(sample, np.flatnonzero(fold != k), seed=k)
-        evidence[fold == k] = Model(weight, bias, np.zeros(5)).evidence(data, offsets)[fold == k]
+        evidence[fold == k] = Model(weight, bias, np.zeros(5)).all_evidence(data, offsets)[fold == k]
     weight, bias = _weights(sample, np.arange(len(label)), seed=2)
     return Model(weight.astype(np.float32), bias, _logistic(evidence, label.astype(float)))
 
@@ -290,15 +299,14 @@ def learning_rows(docs: DataFrame, labels: DataFrame, folds: int = LEARN_FOLDS,
 def score(docs: DataFrame, labels: DataFrame, folds: int = LEARN_FOLDS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. docs: doc_id, text. labels: doc_id, toxic."""
     rows = learning_rows(docs, labels, folds).toArrow()
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows.column("text"), rows.column("toxic").to_pylist()))
     del rows
 
     def assess(batches):
         own = model.value
         for batch in batches:
             data, offsets = C.utf8(batch.column(1))
-            found = [own.evidence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in C.runs_of(offsets, 4 << 20)]
-            p = own.probability(np.concatenate([np.empty((0, 4)), *found]))
+            p = own.probability(own.all_evidence(data, offsets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(assess, "doc_id long, score double")

@@ -49,8 +49,8 @@ def address_of(url: Column) -> Column:
 
 def _linked(html: Column) -> list[Column]:
     """Addresses that a page names as its own: the canonical link's and the refresh redirect's."""
-    link = F.regexp_extract(html, r"(?i)<link\b[^>]{0,2000}\brel\s{0,9}=\s{0,9}[\"']?canonical\b[^>]{0,2000}>", 0)
-    turn = F.regexp_extract(html, r"(?i)<meta\b[^>]{0,2000}\bhttp-equiv\s{0,9}=\s{0,9}[\"']?refresh\b[^>]{0,2000}>", 0)
+    link = F.regexp_extract(html, r"(?i)<link\b[^>]{0,900}\brel\s{0,9}=\s{0,9}[\"']?canonical\b[^>]{0,900}>", 0)
+    turn = F.regexp_extract(html, r"(?i)<meta\b[^>]{0,900}\bhttp-equiv\s{0,9}=\s{0,9}[\"']?refresh\b[^>]{0,900}>", 0)
     return [
         F.when(F.instr(html, "anonical") > 0, address_of(F.regexp_extract(link, r"(?i)\bhref\s{0,9}=\s{0,9}[\"']?([^\"'\s>]+)", 1))),
         F.when(F.instr(html, "efresh") > 0, address_of(F.regexp_extract(turn, r"(?i)\burl\s{0,9}=\s{0,9}[\"']?([^\"'\s>]+)", 1))),
@@ -80,7 +80,8 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] | None = None) ->
     first = keys.groupBy("address").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("address", "first")
     ties = keys.join(first, "address").filter("page_id <> first").select("page_id", "first")
     groups = connected_components(ties, "aliases")
-    member = judged.join(groups.withColumnRenamed("node", "page_id"), "page_id", "left")
-    spread = member.filter("component is not null and fit is not null").groupBy("component").agg(F.max(F.col("fit.verdict") == "allow").alias("any_allow"), F.max(F.col("fit.verdict") == "block").alias("any_block"))
+    # a page without ties is its own component, so that no key gathers such pages
+    member = judged.join(groups.withColumnRenamed("node", "page_id"), "page_id", "left").withColumn("component", F.coalesce("component", "page_id"))
+    spread = member.filter("fit is not null").groupBy("component").agg(F.max(F.col("fit.verdict") == "allow").alias("any_allow"), F.max(F.col("fit.verdict") == "block").alias("any_block"))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("any_allow"), "allow"), F.when(F.col("any_block"), "block"), F.lit("allow"))
     return member.join(spread, "component", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
