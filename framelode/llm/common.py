@@ -171,3 +171,15 @@ def runs_of(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
         yield at, to
         at = to
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows whose texts in a column stay under `most` bytes, one row at least: bounds what is at work at once."""
+    for batch in batches:
+        own = batch.column(column)
+        if not len(own):
+            yield batch
+            continue
+        size = np.frombuffer(own.buffers()[1], np.int64 if pa.types.is_large_string(own.type) else np.int32)[own.offset : own.offset + len(own) + 1]
+        for a, b in runs_of(size.astype(np.int64), most):
+            yield batch.slice(a, b - a)

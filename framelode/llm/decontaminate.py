@@ -194,7 +194,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
         def clean(batches, shared=shared):
             own, place = shared.value, columns.index("text")
-            for batch in batches:
+            for batch in C.sliced(batches, place):
                 texts = batch.column(place)
                 new: dict[int, str] = {}
                 for a, _, data, offsets in _shards(texts):

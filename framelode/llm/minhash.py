@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, shingle: int, family: Family) -> DataFrame:
     """doc_id, n_shingles, same (equal for equal sets, null for empty ones), minima (16 bits each)."""
 
     def sign(batches):
-        for batch in batches:
+        for batch in C.sliced(batches, 1):
             sets, first = shingle_sets(batch.column(1), shingle)
             n = np.diff(first)
             full = np.flatnonzero(n)
@@ -115,7 +115,7 @@ def whole_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id and its set of shingle hashes."""
 
     def take(batches):
-        for batch in batches:
+        for batch in C.sliced(batches, 1):
             sets, first = shingle_sets(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
 
