@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     width = 2 * family.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(family.bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.expr("minima").substr(i * width + 1, F.lit(width))).alias("bucket")))
     members = classes.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.bucket")
-    pivots = members.groupBy("band", "bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join meets a plain shuffle, which adaptive execution may split at hot buckets
+    pivots = C.cut(members.groupBy("band", "bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", "pivot"), "pivots")
     # only members of buckets that hold two classes or more go on
     shared = C.Cut(members.join(pivots, ["band", "bucket"]).select("band", "bucket", "doc_id", "pivot"), "buckets")
     candidates = shared.df.select("doc_id").distinct()
