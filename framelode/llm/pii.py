@@ -6,8 +6,9 @@ text. Each matched value is a protected entity. For every term t among the CONTE
     disclosure(t, e) = log(N c / (n_t n_e)) / log(N / n_e),
 
 where N counts the documents, n_t and n_e those that hold t and e, and c those that hold t in e's context: pointwise mutual
-information over the information of e, 1 when t never stands without e. All four counts cover all documents. Terms that meet e in
-MIN_DOCS documents or more are marked where they stand in e's context: `generalise` from GENERALISE_AT on, `remove` from REMOVE_AT.
+information over the information of e, 1 when t never stands without e. All four counts cover all documents. The
+threshold alone decides, however rare e and t are: terms are marked where they stand in e's context, `generalise` from GENERALISE_AT
+on, `remove` from REMOVE_AT.
 
 Null text: empty, no spans. Repeated rows: each gets its spans and counts as a document. Null doc_id: as any other row. An entity in
 all documents carries no information and reveals nothing. Empty table: no rows. Only doc_id and text are read.
@@ -29,7 +30,6 @@ from .secret_scan import count_of, listed
 
 KINDS = ["email", "ip", "card", "phone"]
 CONTEXT = 8
-MIN_DOCS = 3
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -148,13 +148,13 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def find_personal_data(docs: DataFrame, context: int = CONTEXT, min_docs: int = MIN_DOCS, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def find_personal_data(docs: DataFrame, context: int = CONTEXT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """One row per row of docs: doc_id, found: array of (start, end, rank, kind) of base kinds and of revealing terms, sorted."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = C.cut(_entities(texts, context).withColumn("row", F.monotonically_increasing_id()), "entities")
     near = rows.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
     total = rows.count()
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c")).filter(F.col("c") >= min_docs)
+    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c"))
     entities = rows.filter(F.size("found") > 0).select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     share = F.log(F.lit(float(total)) * F.col("c") / (F.col("docs") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
     strong = C.cut(pairs.join(entities, "entity").filter(F.col("n_e") < total).join(document_frequencies(texts), "term").select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "disclosure")

@@ -154,6 +154,14 @@ def test_revealing_terms(spark):
     assert ("remove", 4) in got[0]
 
 
+def test_rare_entities_are_revealed_too(spark):
+    rows = [(0, "the zorblax wrote from me@x.org today again"), (1, "call quuxbar at +1 555 123 4567 today"), (2, "call quuxbar at +1 555 123 4567 again")] + [(i, f"the day they wrote went on and on from call at today again word{i}") for i in range(3, 60)]
+    got = {r.doc_id: {(x.kind, rows[r.doc_id][1][x.start : x.end]) for x in r.found} for r in pii.find_personal_data(table(spark, rows)).collect()}
+    assert got[0] == {("remove", "zorblax"), ("email", "me@x.org")}
+    assert got[1] == got[2] == {("remove", "quuxbar"), ("phone", "+1 555 123 4567")}
+    assert all(not got[i] for i in range(3, 60))
+
+
 def test_toxicity(spark, odd):
     rnd = random.Random(7)
     bad = ["idiot", "moron", "scumbag", "worthless"]
