@@ -1,14 +1,17 @@
 """Personal data: patterns for entities, and terms that reveal them by the corpus' own co-occurrence.
 
 Base kinds (email, ip, card, phone) are matched as the contract words them, leftmost and without overlap, in time linear in the
-text. Each matched value is a protected entity. For every term t among the CONTEXT words on either side of an entity e,
+text. Each matched value is a protected entity. For every term t of a document that holds an entity e, however far from it,
 
     disclosure(t, e) = log(N c / (n_t n_e)) / log(N / n_e),
 
-where N counts the documents, n_t and n_e those that hold t and e, and c those that hold t in e's context: pointwise mutual
-information over the information of e, 1 when t never stands without e. All four counts cover all documents. The
-threshold alone decides, however rare e and t are: terms are marked where they stand in e's context, `generalise` from GENERALISE_AT
-on, `remove` from REMOVE_AT.
+where N counts the documents, n_t and n_e those that hold t and e, and c those that hold both, t outside of entities: pointwise mutual
+information over the information of e, 1 when t never stands without e. All four counts cover all documents. The threshold alone
+decides, however rare e and t are: a term is marked wherever it stands in a document that holds e, `generalise` from GENERALISE_AT on,
+`remove` from REMOVE_AT.
+
+Since c is n_e at most, no term in more than N^(1-g) n_e^g documents reaches a disclosure of g: such terms are left out before pairs
+are made, which changes no result.
 
 Null text: empty, no spans. Repeated rows: each gets its spans and counts as a document. Null doc_id: as any other row. An entity in
 all documents carries no information and reveals nothing. Empty table: no rows. Only doc_id and text are read.
@@ -29,7 +32,6 @@ from . import common as C
 from .secret_scan import count_of, listed
 
 KINDS = ["email", "ip", "card", "phone"]
-CONTEXT = 8
 GENERALISE_AT, REMOVE_AT = 0.8, 0.95
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,41 +92,35 @@ def _entity(kind: int, value: str) -> int:
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("rank", pa.int32()), ("kind", pa.string())])
-_NEAR = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_WORD = pa.struct([("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _near(text: str, spans: list[tuple[int, int, int]], context: int) -> list[dict]:
-    """The terms around each entity of one text."""
-    raw = text.encode()
-    data = np.frombuffer(raw, np.uint8)
+def _free_words(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+    """The terms of one text outside of its entities."""
+    data = np.frombuffer(text.encode(), np.uint8)
     points = C.code_points(data)
     start, end, term, _ = C.words(data, np.array([0, len(data)]), _LETTERS)
     start, end = points[start], points[end]
     free = np.ones(len(start), bool)
     for a, _, b in spans:
         free[np.searchsorted(end, a, "right") : np.searchsorted(start, b, "left")] = False
-    start, end, term = start[free], end[free], term[free].view(np.int64)
-    out = []
-    for a, kind, b in spans:
-        entity = _entity(kind, text[a:b])
-        left, right = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
-        for i in [*range(max(0, left - context), left), *range(right, min(len(start), right + context))]:
-            out.append({"entity": entity, "term": int(term[i]), "start": int(start[i]), "end": int(end[i])})
-    return out
+    return [{"term": t, "start": a, "end": b} for t, a, b in zip(term[free].view(np.int64).tolist(), start[free].tolist(), end[free].tolist(), strict=True)]
 
 
-def _entities(docs: DataFrame, context: int) -> DataFrame:
+def _entities(docs: DataFrame) -> DataFrame:
     def find(batches):
-        for batch in batches:
-            found, near = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                spans = base_spans(text)
-                found.append([{"start": a, "end": b, "rank": k, "kind": KINDS[k]} for a, k, b in spans])
-                near.append(_near(text, spans, context) if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["doc_id", "found", "near"])
+        for whole in batches:
+            for batch in C.sliced([whole], 1):
+                found, entities, words = [], [], []
+                for text in batch.column(1):
+                    text = text.as_py() or ""
+                    spans = base_spans(text)
+                    found.append([{"start": a, "end": b, "rank": k, "kind": KINDS[k]} for a, k, b in spans])
+                    entities.append(sorted({_entity(k, text[a:b]) for a, k, b in spans}))
+                    words.append(_free_words(text, spans) if spans else [])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.int64())), pa.array(words, pa.list_(_WORD))], names=["doc_id", "found", "entities", "words"])
 
-    return docs.mapInArrow(find, "doc_id long, found array<struct<start:long,end:long,rank:int,kind:string>>, near array<struct<entity:long,term:long,start:long,end:long>>")
+    return docs.mapInArrow(find, "doc_id long, found array<struct<start:long,end:long,rank:int,kind:string>>, entities array<long>, words array<struct<term:long,start:long,end:long>>")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -148,18 +144,31 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
-def find_personal_data(docs: DataFrame, context: int = CONTEXT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """One row per row of docs: doc_id, found: array of (start, end, rank, kind) of base kinds and of revealing terms, sorted."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = C.cut(_entities(texts, context).withColumn("row", F.monotonically_increasing_id()), "entities")
-    near = rows.filter(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
+    rows = C.cut(_entities(texts).withColumn("row", F.monotonically_increasing_id()), "entities")
     total = rows.count()
-    pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("c"))
-    entities = rows.filter(F.size("found") > 0).select("row", F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    holds = rows.select("row", F.explode("entities").alias("entity"))
+    # the documents that a term may be in and still reveal the entity, a little more for rounding
+    most = F.lit(float(max(1, total))) ** (1 - generalise_at) * F.col("n_e") ** generalise_at * (1 + 1e-9)
+    entities = holds.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") < total).withColumn("most", most)
+    held = C.cut(holds.join(entities, "entity"), "held")
+    widest = held.agg(F.max("most")).first()[0] or 0.0
+    frequency = C.cut(document_frequencies(texts), "frequencies")
+    # terms in a hundredth of the documents are few; the most common ones meet no shuffle
+    common = frequency.filter(F.col("docs") > max(widest, total / 100)).select("term")
+    bound = held.groupBy("row").agg(F.max("most").alias("row_most"))
+    own = rows.filter(F.size("words") > 0).select("row", F.explode(F.array_distinct(F.transform("words", lambda x: x["term"]))).alias("term"))
+    rare = own.join(F.broadcast(common), "term", "left_anti").join(frequency, "term").join(bound, "row").filter(F.col("docs") <= F.col("row_most")).select("row", "term", "docs")
+    pairs = rare.join(held, "row").filter(F.col("docs") <= F.col("most")).select("row", "entity", "term", "docs", "n_e")
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("c"), F.first("docs").alias("docs"), F.first("n_e").alias("n_e"))
     share = F.log(F.lit(float(total)) * F.col("c") / (F.col("docs") * F.col("n_e"))) / F.log(F.lit(float(total)) / F.col("n_e"))
-    strong = C.cut(pairs.join(entities, "entity").filter(F.col("n_e") < total).join(document_frequencies(texts), "term").select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "disclosure")
+    strong = C.cut(counted.select("entity", "term", share.alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "disclosure")
     span = F.struct("start", "end", F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("rank"), F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("kind"))
-    terms = near.join(strong, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure")).select("row", span.alias("s")).groupBy("row").agg(F.collect_list("s").alias("terms"))
+    marked = pairs.select("row", "entity", "term").join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    words = rows.filter(F.size("words") > 0).select("row", F.explode("words").alias("x")).select("row", "x.*")
+    terms = words.join(marked, ["row", "term"]).select("row", span.alias("s")).groupBy("row").agg(F.collect_list("s").alias("terms"))
     every = F.concat("found", F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,end:bigint,rank:int,kind:string>>)")))
     ordered = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")))
     return rows.join(terms, "row", "left").select("doc_id", ordered.alias("found"))

@@ -162,6 +162,15 @@ def test_rare_entities_are_revealed_too(spark):
     assert all(not got[i] for i in range(3, 60))
 
 
+def test_revealing_terms_far_from_their_entity(spark):
+    filler = " the day went on and on today again" * 40
+    rows = [(0, f"zorblax zorblax{filler} from me@x.org{filler} zorblax")] + [(i, f"the day went on and on from today again word{i}") for i in range(1, 60)]
+    (got,) = pii.find_personal_data(table(spark, rows)).filter("doc_id = 0").collect()
+    assert [rows[0][1][x.start : x.end] for x in got.found] == ["zorblax", "zorblax", "me@x.org", "zorblax"]
+    assert [x.kind for x in got.found] == ["remove", "remove", "email", "remove"]
+    assert "zorblax" not in pii.sanitise(rows[0][1], got.found)
+
+
 def test_toxicity(spark, odd):
     rnd = random.Random(7)
     bad = ["idiot", "moron", "scumbag", "worthless"]
