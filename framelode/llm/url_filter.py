@@ -2,17 +2,19 @@
 
 Rules name a host and a path; a rule fits its host and all subdomains where the url's path starts with the rule's, and the longest
 fitting rule decides. Pages are aliases when they share an address: the url without scheme, `www.`, fragment, tracking parameters and
-last slash; the target of a canonical link; the target of a refresh redirect. Each address ties its pages to the smallest page_id, and
+last slash; the target of a canonical link; the target of a refresh redirect, both resolved against the page's base and url. Each address ties its pages to the smallest page_id, and
 connected components over these ties spread decisions: a page without a rule is allowed if a page of its component is allowed by a
 rule, else blocked if one is blocked, else allowed. A page's own rule always stands.
 
-Null urls, or ones without `://`: empty host and path, no rule, tied by their links alone, allowed if nothing blocks them. Null page_id:
+Null urls, or ones without `://`: empty host and path, no rule, tied by their absolute links alone, allowed if nothing blocks them. Null page_id:
 judged by rules alone. Pages that repeat a page_id: one node, blocked and allowed together. Empty table: no rows. Only page_id, url and
 html are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,46 @@ def address_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/$", ""), F.lit("?"), kept))
 
 
-def _linked(html: Column) -> list[Column]:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once and the plan holding it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _without_dots(path: Column) -> Column:
+    parts = F.filter(F.split(path, "/"), lambda x: x != ".")
+    plain = F.aggregate(parts, F.expr("cast(array() as array<string>)"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(plain, "/")).otherwise(path)
+
+
+def _resolved(target: Column, base: Column) -> Column:
+    """A link's target as a url: relative ones against the base url; null for schemes without `://`, or without a host."""
+
+    def relative(path: Column) -> Column:
+        folder = F.when(path_of(base) == "", "/").otherwise(F.regexp_replace(path_of(base), r"[^/]*+$", ""))
+        merged = F.when(path.startswith("/"), path).when(path == "", path_of(base)).otherwise(F.concat(folder, path))
+        return F.when(host_of(base) != "", F.concat(F.lit("x://"), host_of(base), _let(merged, _without_dots), F.substring(target, F.length(path) + 1, F.length(target))))
+
+    return (
+        F.when(target == "", None).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+://"), target).when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*+:"), None)
+        .when(target.startswith("//"), F.concat(F.lit("x:"), target)).when(target.startswith("#"), base).otherwise(_let(F.regexp_extract(target, r"^([^?#]*)", 1), relative))
+    )
+
+
+def _first_tag(html: Column, name: str, needed: str) -> Column:
+    """The first tag of a name that holds a pattern. What follows the last > is no tag; without it the search is linear."""
+    closed = F.substring(html, F.lit(1), F.length(html) - F.length(F.substring_index(html, ">", -1)))
+    return F.get(F.filter(F.regexp_extract_all(closed, F.lit(rf"(?i)<{name}\b[^>]*+>"), F.lit(0)), lambda x: x.rlike(f"(?i){needed}")), F.lit(0))
+
+
+def _linked(html: Column, url: Column) -> Column:
     """Addresses that a page names as its own: the canonical link's and the refresh redirect's."""
-    link = F.regexp_extract(html, r"(?i)<link\b[^>]{0,900}\brel\s{0,9}=\s{0,9}[\"']?canonical\b[^>]{0,900}>", 0)
-    turn = F.regexp_extract(html, r"(?i)<meta\b[^>]{0,900}\bhttp-equiv\s{0,9}=\s{0,9}[\"']?refresh\b[^>]{0,900}>", 0)
-    return [
-        F.when(F.instr(html, "anonical") > 0, address_of(F.regexp_extract(link, r"(?i)\bhref\s{0,9}=\s{0,9}[\"']?([^\"'\s>]+)", 1))),
-        F.when(F.instr(html, "efresh") > 0, address_of(F.regexp_extract(turn, r"(?i)\burl\s{0,9}=\s{0,9}[\"']?([^\"'\s>]+)", 1))),
-    ]
+    value = r"\s*+=\s*+[\"']?"
+    href, to = rf"(?i)\bhref{value}([^\"'\s>]+)", rf"(?i)\burl{value}([^\"'\s>]+)"
+    link = F.regexp_extract(_first_tag(html, "link", rf"\brel{value}canonical\b"), href, 1)
+    turn = F.regexp_extract(_first_tag(html, "meta", rf"\bhttp-equiv{value}refresh\b"), to, 1)
+    own = F.regexp_extract(_first_tag(html, "base", rf"\bhref{value}"), href, 1)
+    targets = F.filter(F.array(link, turn), lambda x: x != "")
+    return F.transform(targets, lambda x: _let(_let(own, lambda b: F.coalesce(_resolved(b, url), url)), lambda b: _let(_resolved(x, b), address_of)))
 
 
 def _fitting(rules: list[tuple[str, str]], host: Column, path: Column) -> Column:
@@ -73,7 +107,7 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] | None = None) ->
     """One row per row of pages: page_id, host, path, rule, verdict."""
     rules = RULES if rules is None else rules
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    named = F.array_distinct(F.filter(F.array(address_of(url), *_linked(html)), lambda x: x.isNotNull()))
+    named = F.array_distinct(F.filter(F.concat(F.array(address_of(url)), F.coalesce(_linked(html, url), F.array())), lambda x: x.isNotNull()))
     judged = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), named.alias("named"))
     judged = C.cut(judged.withColumn("fit", _fitting(rules, F.col("host"), F.col("path"))), "pages")
     keys = judged.filter("page_id is not null").select("page_id", F.explode("named").alias("address"))

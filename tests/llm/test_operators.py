@@ -344,6 +344,28 @@ def test_urls(spark):
     assert url_filter.judge_pages(pages.limit(0)).count() == 0
 
 
+def test_url_targets_of_all_forms(spark):
+    def link(to):
+        return f'<link rel="canonical" href="{to}">'
+
+    bad = "http://example.org/es/x/y"
+    forms = [
+        ("http://example.net/a", link("//example.org/es/x/y")), ("http://example.net/b", f'<LINK REL="CANONICAL" HREF="{bad}">'),
+        ("http://example.net/c", f'<META HTTP-EQUIV="REFRESH" CONTENT="0; URL={bad}">'), ("http://example.net/d", f'<link title="{"t" * 2000}" rel="canonical" href="{bad}">'),
+        ("http://example.net/e", f'<link rel  {" " * 20}= "canonical" data="{"t" * 2000}" href="{bad}">'), ("http://example.net/f", f'<base href="http://example.org/es/z">{link("x/y")}'),
+    ]
+    # pages on one host, tied to /n, which a page of the blocked site names
+    same = ["/n", "n", "./n", "../p/../n?utm_x=1", "//other.net/n", "http://other.net/n/"]
+    rows = [(1, bad, ""), (2, "http://example.net/own", link("mailto:a@b.c"))] + [(10 + i, u, h) for i, (u, h) in enumerate(forms)]
+    rows += [(30, "http://other.net/n", link(bad))] + [(31 + i, f"http://other.net/{'q/' * (x[:2] == '..')}p{i}?a={i}", f'<meta http-equiv="refresh" content="0; url={x}">') for i, x in enumerate(same)]
+    rows += [(50, "http://other.net/r/s", link("/login?next=http://example.org/es/x/y")), (51, None, link("/n")), (52, "http://other.net/k?q=1", link("?q=2")), (53, "http://other.net/k?q=2", link("/n"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_pages(pages, [("block", "example.org/es/")]).collect()}
+    assert {i for i, v in got.items() if v == "allow"} == {2, 50, 51}
+    text = "<link " * 50_000
+    assert url_filter.judge_pages(spark.createDataFrame([(1, "http://a.b/c", text)], "page_id long, url string, html string")).first().verdict == "allow"
+
+
 def test_mixing(spark, odd):
     cells = [("a", "en", "article", 900), ("a", "fr", "note", 50), ("b", "en", "note", 30), ("b", "fr", "article", 20), ("c", "de", "article", 0)]
     weight = mixing.rake(cells, {"source": None, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"article": 0.6}}, 200)
