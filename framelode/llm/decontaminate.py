@@ -6,7 +6,9 @@ symbol, which no window holds. Backward search through wavelet-tree ranks finds
 positions place them, and overlapping occurrences merge into spans.
 
 Documents never move: a shard is a run of documents of one Arrow batch, so no key can be hot. Benchmark items are read in blocks of
-bounded size; one block serves up to BLOCK_WORDS words of items.
+bounded size; one block serves up to BLOCK_WORDS words of items. With several blocks the documents are written once under a key of
+their row, what all blocks find in a row is united by it, and texts are cut by these united spans, so the number of blocks changes no
+result.
 
 Null or empty text: no words, not contaminated. Null item text or an item without words: ignored. Null item_id: its windows count
 as hits, the item is not listed. Repeated rows: each is judged alone; repeated items: listed once. Empty tables: no rows, or
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,14 +126,37 @@ def _spans(data: np.ndarray, offsets: np.ndarray, windows: Windows):
             yield b - a, None, None, items[i]
 
 
-def _blocks(bench: DataFrame, block_words: int, window: int) -> list[Windows]:
+def _blocks(bench: DataFrame, block_words: int, window: int) -> list[Broadcast]:
     """The items in blocks of bounded size, read one after the other."""
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
     sizes = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-sizes // (4 * block_words)))
+    shared = []
     for part in range(parts):
         own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield Windows([tuple(x) for x in own.collect()], window)
+        shared.append(bench.sparkSession.sparkContext.broadcast(Windows([tuple(x) for x in own.collect()], window)))
+    return shared
+
+
+def _found(texts: DataFrame, shared: Broadcast) -> DataFrame:
+    """What one block finds in each row of texts: doc_id, text."""
+
+    def find(batches):
+        own = shared.value
+        for batch in batches:
+            out = []
+            for a, b, data, offsets in _shards(batch.column(1)):
+                for i, (n, run, span, items) in enumerate(_spans(data, offsets, own)):
+                    if run is not None:
+                        points = C.code_points(data[offsets[i] : offsets[i + 1]])
+                        span = [{"start": int(s), "end": int(e)} for s, e in points[span]]
+                        run = [{"start": int(s), "end": int(e)} for s, e in run]
+                    out.append((int(n), span or [], sorted(items), run or []) if run is not None else (int(n), [], sorted(items), []))
+            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), spans, pa.list_(pa.int64()), spans), strict=True)]], names=["doc_id", "n_words", "spans", "items", "word_spans"])
+
+    return texts.mapInArrow(find, _FOUND)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -138,41 +164,29 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
     docs: doc_id, text. bench: item_id, text.
     """
-    spark, parts = docs.sparkSession, []
-    for windows in _blocks(bench, block_words, window):
-        shared = spark.sparkContext.broadcast(windows)
-
-        def find(batches, shared=shared):
-            own = shared.value
-            for batch in batches:
-                out = []
-                for a, b, data, offsets in _shards(batch.column(1)):
-                    for i, (n, run, span, items) in enumerate(_spans(data, offsets, own)):
-                        if run is not None:
-                            points = C.code_points(data[offsets[i] : offsets[i + 1]])
-                            span = [{"start": int(s), "end": int(e)} for s, e in points[span]]
-                            run = [{"start": int(s), "end": int(e)} for s, e in run]
-                        out.append((int(n), span or [], sorted(items), run or []) if run is not None else (int(n), [], sorted(items), []))
-                spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                columns = list(zip(*out, strict=True)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), spans, pa.list_(pa.int64()), spans), strict=True)]], names=["doc_id", "n_words", "spans", "items", "word_spans"])
-
-        parts.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, _FOUND))
-    if len(parts) == 1:
-        return parts[0]
-    return _merged(parts)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
-    """The blocks' results for each document: spans united, items together. Rows that share a doc_id are told apart by what is found in them."""
-    merge = """aggregate(sort_array(flatten(collect_list({c}))), cast(array() as array<struct<start:bigint,end:bigint>>),
-        (acc, x) -> CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
-            THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-            ELSE concat(acc, array(x)) END) AS {c}"""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("doc_id", "n_words").agg(F.expr(merge.format(c="spans")), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.expr(merge.format(c="word_spans")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = _blocks(bench, block_words, window)
+    if len(blocks) == 1:
+        return _found(texts, blocks[0])
+    rows = C.cut(texts.withColumn("key", F.monotonically_increasing_id()), "texts")
+    found = _merged(rows.select("key", "text"), blocks)
+    return rows.select("key", "doc_id").join(found, "key").select("doc_id", "n_words", "spans", "items", "word_spans")
+
+
+def _merged(texts: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """What all blocks find in each row of texts (a unique key, text): spans that share or adjoin words united, items together."""
+    every = _found(texts, blocks[0])
+    for block in blocks[1:]:
+        every = every.unionByName(_found(texts, block))
+    unite = """aggregate(sort_array(flatten(collect_list(zip_with(word_spans, spans, (w, s) -> named_struct('a', w.start, 'b', w.end, 'start', s.start, 'end', s.end))))),
+        cast(array() as array<struct<a:bigint,b:bigint,start:bigint,end:bigint>>),
+        (acc, x) -> CASE WHEN size(acc) > 0 AND x.a <= element_at(acc, -1).b
+            THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', greatest(element_at(acc, -1).b, x.b),
+                'start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
+            ELSE concat(acc, array(x)) END)"""
+    united = every.groupBy(F.col("doc_id").alias("key")).agg(F.max("n_words").alias("n_words"), F.expr(unite).alias("u"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    part = "transform(u, x -> named_struct('start', x.{}, 'end', x.{}))"
+    return united.select("key", "n_words", F.expr(part.format("start", "end")).alias("spans"), "items", F.expr(part.format("a", "b")).alias("word_spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -189,29 +203,61 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     too. A text without hits is returned as it is, null included.
     """
     columns, types = docs.columns, docs.schema
-    for windows in _blocks(bench, block_words, window):
-        shared = docs.sparkSession.sparkContext.broadcast(windows)
-
-        def clean(batches, shared=shared):
-            own, place = shared.value, columns.index("text")
-            for batch in C.sliced(batches, place):
-                texts = batch.column(place)
-                new: dict[int, str] = {}
-                for a, _, data, offsets in _shards(texts):
-                    for i, (_, run, span, _) in enumerate(_spans(data, offsets, own)):
-                        if run is not None:
-                            new[a + i] = _without(data[offsets[i] : offsets[i + 1]], span, own)
-                arrays = list(batch.columns)
-                if new:
-                    arrays[place] = pa.array([new.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
-                    if "n_chars" in columns:
-                        at = columns.index("n_chars")
-                        sizes = arrays[at].to_pylist()
-                        arrays[at] = pa.array([len(new[i]) if i in new else x for i, x in enumerate(sizes)], arrays[at].type)
-                yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-        docs = docs.mapInArrow(clean, types)
-    return docs
+    blocks = _blocks(bench, block_words, window)
+    if len(blocks) > 1:
+        return _cut_by_all(docs, blocks)
+    (shared,) = blocks
+
+    def clean(batches):
+        own, place = shared.value, columns.index("text")
+        for batch in C.sliced(batches, place):
+            texts = batch.column(place)
+            new: dict[int, str] = {}
+            for a, _, data, offsets in _shards(texts):
+                for i, (_, run, span, _) in enumerate(_spans(data, offsets, own)):
+                    if run is not None:
+                        new[a + i] = _without(data[offsets[i] : offsets[i + 1]], span, own)
+            arrays = list(batch.columns)
+            if new:
+                arrays[place] = pa.array([new.get(i, x) for i, x in enumerate(texts.to_pylist())], texts.type)
+                if "n_chars" in columns:
+                    at = columns.index("n_chars")
+                    sizes = arrays[at].to_pylist()
+                    arrays[at] = pa.array([len(new[i]) if i in new else x for i, x in enumerate(sizes)], arrays[at].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return docs.mapInArrow(clean, types)
+
+
+def _cut_by_all(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """`decontaminate` with several blocks: all of them search a text before it is cut, until none finds anything."""
+    rows = C.cut(C.packed(docs).select("row", F.col("row.text").cast("string").alias("text"), F.monotonically_increasing_id().alias("key")), "texts")
+
+    def shorten(batches):
+        for batch in batches:
+            new = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                edges = [0, *[x for s in spans for x in (s["start"], s["end"])], len(text)]
+                new.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["key", "text"])
+
+    rest, rounds = rows.select("key", "text"), []
+    while True:
+        hit = _merged(rest, blocks).filter(F.size("spans") > 0).select("key", "spans")
+        rest = C.cut(rest.join(hit, "key").select("key", "text", "spans").mapInArrow(shorten, "key long, text string"), "shortened")
+        if rest.isEmpty():
+            break
+        rounds.append(rest.withColumn("round", F.lit(len(rounds))))
+    if not rounds:
+        return C.unpacked(rows.select("row"))
+    every = rounds[0]
+    for r in rounds[1:]:
+        every = every.unionByName(r)
+    last = every.groupBy("key").agg(F.max_by("text", "round").alias("new"))
+    row = F.col("row").withField("text", F.col("new"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("new").cast(docs.schema["n_chars"].dataType))
+    return C.unpacked(rows.select("key", "row").join(last, "key", "left").select(F.when(F.col("new").isNull(), F.col("row")).otherwise(row).alias("row")))
 
 
 def _without(data: np.ndarray, span: np.ndarray, windows: Windows) -> str:

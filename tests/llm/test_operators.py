@@ -288,6 +288,22 @@ def test_contamination(spark, block):
     assert decontaminate.contamination(docs, bench.limit(0)).filter(F.size("items") > 0).count() == 0
 
 
+def test_contamination_in_blocks_as_in_one(spark):
+    rnd = random.Random(10)
+    long = prose(rnd, 60).split()
+    # items that overlap, adjoin, or come together when another one is cut
+    items = [(i, " ".join(long[a:b])) for i, (a, b) in enumerate([(0, 14), (10, 24), (24, 36), (40, 52), (5, 17), (30, 44)])]
+    texts = [" ".join(long), "x, ".join(long[:30]), " ".join([*long[40:46], *long[:14], *long[46:52]]), prose(rnd, 60), prose(rnd, 60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[3]), (None, texts[4]), (7, texts[0]), (7, texts[0]), (7, texts[4]), (None, None), (8, "")]
+    docs, bench = table(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(decontaminate.contamination(docs, bench).collect(), key=repr)
+    cut = sorted(decontaminate.decontaminate(docs, bench).collect(), key=repr)
+    assert len(one) == len(cut) == len(rows)
+    for block in (5, 25):
+        assert sorted(decontaminate.contamination(docs, bench, block_words=block).collect(), key=repr) == one
+        assert sorted(decontaminate.decontaminate(docs, bench, block_words=block).collect(), key=repr) == cut
+
+
 def test_line_dedup(spark, odd):
     long = "a quite long line of boilerplate that many documents share today"
     rows = [(i, f"first words of document number{i} are\n{long}\nend{i} here") for i in range(4)]
