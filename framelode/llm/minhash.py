@@ -5,9 +5,9 @@ shingle. Two documents are linked when 100 x intersection >= percent x union of
 
 1. Documents with the same set become one class, stood for by its smallest doc_id.
 2. Each class gets `bands x rows` minima of multiply-shift hashes, kept in 16 bits each. `bands` is set so that a pair at the
-   threshold shares no band with a chance under MISS.
+   threshold shares no band with a chance under MISS; what is left of MISS bounds the loss by step 3.
 3. In each bucket (band and its minima) that holds two classes or more, all members are paired with one pivot. Pairs are dropped if
-   their signatures agree in so few places that the threshold is four standard errors away, then confirmed on whole sets.
+   their signatures agree in fewer places than a pair at the threshold does but for that chance, then confirmed on whole sets.
 4. Links go to components. In buckets whose members still lie in several components, the members outside the bucket's largest
    component are compared with all others, in blocks inside tasks: signatures first, whole sets then, and only links leave a task.
    So a large group of near copies costs rows in proportion, and no link between members of a bucket is lost.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .graph import connected_components
 
-#: Chance that two documents at the threshold share no band.
+#: Chance that two documents at the threshold share no band or fail the signature check.
 MISS = 1e-5
 BAND_ROWS = 6
 #: Rows and shingles of one side of a block.
@@ -50,7 +50,11 @@ class Family:
         self.a = draw.integers(0, 2**63, self.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = draw.integers(0, 2**63, self.hashes, dtype=np.uint64)
         share = percent / 100
-        self.least_equal = math.floor(self.hashes * (share - 4 * math.sqrt(share * (1 - share) / self.hashes)))
+        # what banding leaves of the chance goes to the signature check, by the exact binomial
+        left = miss - (1 - share**rows) ** self.bands
+        self.least_equal = 0
+        while (left := left - math.comb(self.hashes, self.least_equal) * share**self.least_equal * (1 - share) ** (self.hashes - self.least_equal)) >= 0:
+            self.least_equal += 1
 
     def signatures(self, sets: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The minima of non-empty sets that lie one after the other; 16 bits of each."""

@@ -1,5 +1,6 @@
 """Operators against brute force, and on nulls, empty and long texts, repeats, empty tables and clashing columns."""
 
+import math
 import random
 import re
 import zlib
@@ -234,6 +235,13 @@ def test_near_duplicates(spark, size, percent):
     assert {r.doc_id for r in left.collect()} == set(want.values())
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_banding_and_signature_check_miss_less_than_stated(percent):
+    own, share = minhash.Family(percent), percent / 100
+    below = sum(math.comb(own.hashes, i) * share**i * (1 - share) ** (own.hashes - i) for i in range(own.least_equal))
+    assert 0 < own.least_equal and below + (1 - share**own.rows) ** own.bands <= minhash.MISS
+
+
 def test_near_duplicates_odd(spark, odd):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == 10
