@@ -30,18 +30,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Cut:
-    """A table written to the shared folder and read back; its lineage is one scan."""
+    """A table written to the shared folder and read back; its lineage is one scan. It belongs to the innermost open Scope, if any."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/framelode/{tag}-{uuid.uuid4().hex}"
+        self.dropped = False
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        if _SCOPES:
+            _SCOPES[-1].tables.append(self)
 
     def drop(self) -> None:
         """Removes the files, once nothing reads them any more."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        if not self.dropped:
+            self.dropped = True
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scope:
+    """The tables cut while it is open; they are deleted when it closes, but for those kept, which pass to the scope around it."""
+
+    def __init__(self):
+        self.tables: list[Cut] = []
+        self.stays: list[Cut] = []
+
+    def kept(self, df: DataFrame, tag: str) -> DataFrame:
+        """Writes df, which may read the scope's tables, as one that outlives the scope."""
+        self.stays.append(Cut(df, tag))
+        return self.stays[-1].df
+
+    def __enter__(self) -> Scope:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _SCOPES.remove(self)
+        for table in self.tables:
+            if table not in self.stays:
+                table.drop()
+        if _SCOPES:
+            _SCOPES[-1].tables += self.stays
+
+
+_SCOPES: list[Scope] = []
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

@@ -329,6 +329,107 @@ def test_line_dedup(spark, odd):
     assert line_dedup.deduplicate_lines(table(spark, [])).count() == 0
 
 
+def lines_dropped(texts):
+    """Line deduplication by dictionaries: (row, line) of what goes. texts: (doc_id, text) by row, doc_ids distinct."""
+    lines = []
+    for row, (doc, text) in enumerate(texts):
+        for n, body in enumerate((text or "").split("\n")):
+            tokens = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", body)]
+            if tokens:
+                lines.append((doc, n, tuple(tokens), row))
+    seen = {}
+    for doc, n, tokens, row in lines:
+        seen.setdefault(tokens, []).append((doc, n, row))
+    parent = {t: t for t in seen}
+
+    def find(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    by_hash = line_hashes(list(seen))
+    buckets = {}
+    for t in seen:
+        if len(t) >= line_dedup.MIN_TOKENS:
+            bands = len(t) * 20 // 100 + 1
+            for b in range(bands):
+                buckets.setdefault((len(t), t[:3], b, t[b::bands]), []).append(t)
+    for own in buckets.values():
+        least = min(own, key=by_hash.get)
+        for t in own:
+            if 100 * sum(x != y for x, y in zip(t, least)) <= 20 * len(t):
+                parent[find(t)] = find(least)
+    groups = {}
+    for t in seen:
+        groups.setdefault(find(t), []).append(t)
+    gone = set()
+    for t, places in seen.items():
+        together = [p for x in groups[find(t)] for p in seen[x]]
+        if len(groups[find(t)]) > 1 and len({p[0] for p in together}) > 1:
+            stays = min(together)
+        elif len({p[0] for p in places}) > 1 and (len(t) >= line_dedup.MIN_TOKENS or len(places) >= line_dedup.COMMON):
+            stays = min(places)
+        else:
+            continue
+        gone |= {(p[2], p[1]) for p in places if p != stays}
+    return gone
+
+
+def line_hashes(templates):
+    from pyspark.sql import SparkSession
+
+    rows = SparkSession.getActiveSession().createDataFrame([(" ".join(t),) for t in templates], "t string").select("t", F.xxhash64("t")).collect()
+    return {tuple(r[0].split(" ")): r[1] for r in rows}
+
+
+def test_line_dedup_as_by_brute_force(spark):
+    rnd = random.Random(21)
+    vocabulary = [prose(rnd, 1) for _ in range(300)]
+    families = []
+    for _ in range(12):
+        own = [rnd.choice(vocabulary) for _ in range(rnd.randint(6, 30))]
+        own[:3] = rnd.choice([["at", "the", "end"], own[:3]])
+        families.append(own)
+    texts = []
+    for i in range(80):
+        body = []
+        for _ in range(rnd.randint(0, 8)):
+            line = list(rnd.choice(families)) if rnd.random() < 0.6 else ["at", "the", "end"] + [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 25))]
+            for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+                line[rnd.randrange(len(line))] = rnd.choice([*vocabulary, "4711", "a1"])
+            body.append(rnd.choice([" ", "  ", "\t"]).join(line))
+        texts.append((100 - i, rnd.choice(["\n", "\n\n"]).join(body)))
+    texts += [(200, None), (201, "")]
+    want = lines_dropped(texts)
+    got = {r.doc_id: r for r in line_dedup.report(table(spark, texts)).collect()}
+    assert len(want) > 50
+    for row, (doc, text) in enumerate(texts):
+        drop = sorted(n for r, n in want if r == row)
+        assert got[doc].dropped == ",".join(map(str, drop)), doc
+        assert got[doc].n_dropped == len(drop) and got[doc].n_lines == (0 if text is None else text.count("\n") + 1)
+
+
+def test_two_families_in_one_leaf_among_unrelated_lines(spark):
+    rnd = random.Random(22)
+    one = "alpha beta gamma the first family has a long tail of words here".split()
+    two = "alpha beta gamma quite another set is meant by that second family now".split()
+    assert len(one) == len(two)
+    rows = []
+    for i in range(20):
+        own = list(one if i % 2 else two)
+        own[6] = f"var{'abcdefghijklmnopqrst'[i]}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join(["alpha", "beta", "gamma", *(prose(rnd, 10).split())])) for i in range(40)]
+    left = {r.doc_id for r in line_dedup.deduplicate_lines(table(spark, rows)).collect()}
+    assert left == {0, 1, *range(100, 140)}
+
+
+def test_documents_under_min_words_after_losing_lines_go(spark):
+    long = "a quite long line of boilerplate that many documents share today"
+    rows = [(0, long), (1, f"{long}\nfour words are left"), (2, f"{long}\n{prose(random.Random(1), 30)}"), (3, "few")]
+    assert {r.doc_id for r in line_dedup.deduplicate_lines(table(spark, rows), 10).collect()} == {0, 2, 3}
+
+
 def test_quality(spark, odd):
     rnd = random.Random(11)
     texts = [prose(rnd, n) for n in (10, 60, 300)] + [" ".join(["a b c d"] * 30), "\n".join(["x y z w"] * 20 + [prose(rnd, 60)]), prose(rnd, 60).upper(), None, ""]
@@ -351,6 +452,22 @@ def test_quality(spark, odd):
     assert set(quality.order_rules(odd)) == set(quality.RULES)
 
 
+def test_rules_go_by_rejections_of_what_is_alive_per_cost():
+    rules = {name: quality.Rule((name,), None) for name in ("n_symbols", "n_words", "n_repeat_words", "n_capitals")}
+    cost = {"n_symbols": 1.0, "words": 4.0, "n_words": 0.5, "n_repeat_words": 0.5, "n_capitals": 1.0}
+    # the first rejects 40, the third 80 for words and its own, the fourth what the first rejects already
+    patterns = [((True, False, True, True), 40), ((False, False, True, False), 40), ((False, True, False, False), 5), ((False,) * 4, 15)]
+    assert quality.best_order(rules, cost, patterns) == ["n_symbols", "n_repeat_words", "n_words", "n_capitals"]
+    assert quality.best_order(rules, cost, []) == ["n_symbols", "n_capitals", "n_words", "n_repeat_words"]
+
+
+def test_rules_are_measured_on_few_rows_that_do_not_move(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text")).repartition(50)
+    sample = quality._sampled(C.cut(docs, "docs"), 1000)
+    assert 800 < sample.df.count() < 1200
+    assert "Exchange" not in docs.sparkSession.read.parquet(sample.path)._jdf.queryExecution().toString()
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="http://bad.example.org/es/x">'
     rows = [
