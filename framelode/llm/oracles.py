@@ -1,13 +1,15 @@
 """DuckDB SQL of the operators that SQL can express over whole tables.
 
 Secret and personal-data spans (leftmost matches with positions), token counts (byte-pair merges), toxicity (a trained machine) and line
-templates (hashed prints) are tested against brute-force versions instead.
+templates (groups by the least hash) have no SQL; tests/llm holds brute-force versions of them, or of the steps that they consist of.
 """
 
 from __future__ import annotations
 
 from . import mixing
 
+SQL_SWEEPS, SQL_CUTS = 24, 6
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP4 = r"""
@@ -102,33 +104,43 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
 def mixing_sql(table: str = "documents", final: str | None = None) -> str:
-    """The raking of mixing.TARGETS, each sweep written out."""
+    """The bounded raking of mixing.TARGETS, each sweep written out; SQL_SWEEPS are enough for the tables that SQL is run on."""
     dims = mixing.DIMENSIONS
     own = f"""own AS MATERIALIZED (
   SELECT *, coalesce(CASE WHEN contains(text, ' | ') THEN 'listing' WHEN contains(text, 'License') THEN 'licensed' WHEN n_tokens < 100 THEN 'note'
                  WHEN n_tokens > 1000 THEN 'longform' WHEN text IS NOT NULL THEN 'article' END, 'note') AS topic
   FROM (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM {table})
-), c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE / sum(sum(n_tokens)) OVER () AS w FROM own GROUP BY ALL)"""
+), c0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE / sum(sum(n_tokens)) OVER () AS w,
+  sum(n_tokens)::DOUBLE / (sum(sum(n_tokens)) OVER () * {mixing.BUDGET!r}::DOUBLE) AS cap FROM own GROUP BY ALL)"""
     parts = [own]
     for d in dims:
         target = mixing.TARGETS[d]
         if target is None:
-            parts.append(f"s_{d} AS MATERIALIZED (SELECT {d}, 1.0 / count(*) OVER () AS share FROM (SELECT {d}, sum(tokens) AS t FROM c0 GROUP BY {d}) WHERE t > 0)")
-            continue
-        rest = max(0.0, 1 - sum(target.values()))
-        case = " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in target.items())
-        parts.append(
-            f"t_{d} AS (SELECT {d}, t, CASE {d} {case} END AS share FROM (SELECT {d}, sum(tokens) AS t FROM c0 GROUP BY {d}) WHERE t > 0),\n"
-            f"g_{d} AS (SELECT {d}, coalesce(share, {rest!r}::DOUBLE * t / sum(CASE WHEN share IS NULL THEN t END) OVER ()) AS share FROM t_{d}),\n"
-            f"s_{d} AS MATERIALIZED (SELECT {d}, share / sum(share) OVER () AS share FROM g_{d})"
-        )
+            parts.append(f"a_{d}_0 AS MATERIALIZED (SELECT {d}, most, 1.0::DOUBLE / count(*) OVER () AS share FROM (SELECT {d}, sum(tokens) AS t, sum(cap) AS most FROM c0 GROUP BY {d}) WHERE t > 0)")
+        else:
+            rest = max(0.0, 1 - sum(target.values()))
+            case = " ".join(f"WHEN '{k}' THEN {v!r}::DOUBLE" for k, v in target.items())
+            parts.append(
+                f"t_{d} AS (SELECT {d}, t, most, CASE {d} {case} END AS share FROM (SELECT {d}, sum(tokens) AS t, sum(cap) AS most FROM c0 GROUP BY {d}) WHERE t > 0),\n"
+                f"g_{d} AS (SELECT {d}, most, coalesce(share, {rest!r}::DOUBLE * t / sum(CASE WHEN share IS NULL THEN t END) OVER ()) AS share FROM t_{d}),\n"
+                f"a_{d}_0 AS MATERIALIZED (SELECT {d}, most, share / sum(share) OVER () AS share FROM g_{d})"
+            )
+        for k in range(SQL_CUTS):
+            parts.append(
+                f"a_{d}_{k + 1} AS MATERIALIZED (SELECT {d}, most, CASE WHEN share >= most THEN most"
+                f" ELSE share * (1 - coalesce(sum(CASE WHEN share >= most THEN most END) OVER (), 0)) / sum(CASE WHEN share < most THEN share END) OVER () END AS share FROM a_{d}_{k})"
+            )
     n = 0
-    for _ in range(mixing.SWEEPS):
+    for _ in range(SQL_SWEEPS):
         for d in dims:
-            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, tokens, coalesce(CASE WHEN have > 0 THEN w * share / have END, 0) AS w FROM (SELECT *, sum(w) OVER (PARTITION BY {d}) AS have FROM c{n}) c LEFT JOIN s_{d} s USING ({d}))")
+            parts.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, cap, w * CASE WHEN o > 0 AND s > f THEN (s - f) / o WHEN f + o > s THEN s / (f + o) ELSE 1 END AS w"
+                f" FROM (SELECT c.*, coalesce(share, 0) AS s, sum(CASE WHEN w >= cap THEN cap ELSE 0 END) OVER (PARTITION BY c.{d}) AS f, sum(CASE WHEN w < cap THEN w ELSE 0 END) OVER (PARTITION BY c.{d}) AS o"
+                f" FROM c{n} c LEFT JOIN a_{d}_{SQL_CUTS} a ON a.{d} = c.{d}))"
+            )
             n += 1
     parts.append(
-        f"odds AS MATERIALIZED (SELECT source, lang, topic, least(1.0, CASE WHEN tokens > 0 THEN {mixing.BUDGET!r}::DOUBLE * sum(tokens) OVER () * w / tokens ELSE 0 END) AS probability FROM c{n}),\n"
+        f"odds AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN cap > 0 THEN least(w, cap) / cap ELSE 0 END AS probability FROM c{n}),\n"
         f"drawn AS (SELECT own.*, probability, ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < probability AS sampled FROM own JOIN odds USING (source, lang, topic))"
     )
     return "WITH " + ",\n".join(parts) + "\n" + (final or "SELECT doc_id, source, lang, topic, n_tokens, round(probability, 6) AS probability, sampled FROM drawn")

@@ -509,7 +509,7 @@ def test_url_targets_of_all_forms(spark):
 
 def test_mixing(spark, odd):
     cells = [("a", "en", "article", 900), ("a", "fr", "note", 50), ("b", "en", "note", 30), ("b", "fr", "article", 20), ("c", "de", "article", 0)]
-    weight = mixing.rake(cells, {"source": None, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"article": 0.6}}, 200)
+    weight = mixing.rake(cells, {"source": None, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"article": 0.6}}, 200, budget=0.001)
     for d, want in ((0, {"a": 0.5, "b": 0.5}), (1, {"en": 0.5, "fr": 0.5}), (2, {"article": 0.6, "note": 0.4})):
         for k, v in want.items():
             assert abs(sum(w for c, w in zip(cells, weight) if c[d] == k) - v) < 1e-4
@@ -520,4 +520,32 @@ def test_mixing(spark, odd):
     third = {r.doc_id: round(r.probability, 6) for r in mixing.probabilities(docs, sweeps=3).collect()}
     assert other == third and len(one) == 300
     assert mixing.mix(docs).columns == docs.columns
+    shares = {(r.dimension, r.category): r for r in mixing.marginals(docs).collect()}
+    assert abs(sum(r.drawn for r in shares.values()) - 3) < 1e-9 and abs(sum(r.expected for r in shares.values()) - 3) < 1e-9
     assert mixing.report(odd).count() == 10 and mixing.report(table(spark, [])).count() == 0
+
+
+def test_mixing_meets_targets_under_capacity():
+    rnd = random.Random(31)
+    cells = [(f"s{i}", lang, topic, rnd.choice([40, 100, 300, 1000])) for i in range(12) for lang in ("en", "fr", "de", "es") for topic in ("article", "longform", "note", "licensed", "listing")]
+    cells = [c[:3] + (c[3] // 40 if c[2] == "licensed" else c[3],) for c in cells]
+    total = sum(c[-1] for c in cells)
+    weight = mixing.rake(cells, mixing.TARGETS, budget=0.1)
+    capacity = [c[-1] / (0.1 * total) for c in cells]
+    assert all(w <= p for w, p in zip(weight, capacity)) and abs(sum(weight) - 1) < 1e-9
+    assert sum(w == p and p > 0 for w, p in zip(weight, capacity)) > 5
+    for d, name in enumerate(mixing.DIMENSIONS):
+        own, most, have = {}, {}, {}
+        for c, w, p in zip(cells, weight, capacity):
+            own[c[d]], most[c[d]], have[c[d]] = own.get(c[d], 0) + c[-1], most.get(c[d], 0) + p, have.get(c[d], 0) + w
+        want = mixing.attainable(mixing.shares(own, mixing.TARGETS[name]), most)
+        assert all(abs(have[k] - want[k]) < 1e-9 for k in want)
+        if name == "topic":
+            assert have["licensed"] == pytest.approx(most["licensed"]) and have["licensed"] < 0.1
+            assert have["article"] / have["longform"] == pytest.approx(5 / 3)
+
+
+def test_attainable():
+    assert mixing.attainable({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.1, "b": 0.5, "c": 9}) == pytest.approx({"a": 0.1, "b": 0.5, "c": 0.4})
+    assert mixing.attainable({"a": 0.5, "b": 0.5}, {"a": 0.2, "b": 0.3}) == {"a": 0.2, "b": 0.3}
+    assert mixing.attainable({}, {}) == {}
