@@ -12,24 +12,27 @@ SQL_SWEEPS, SQL_CUTS = 24, 6
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Rules as (verdict, host, path); links with a host of their own alone (the tables have no others, tests/llm covers them).
 _OP4 = r"""
-WITH RECURSIVE p AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
-         regexp_extract(regexp_extract(html, '(?i)<link\b[^>]{0,900}\brel\s{0,9}=\s{0,9}["'']?canonical\b[^>]{0,900}>'), '(?i)\bhref\s{0,9}=\s{0,9}["'']?([^"''\s>]+)', 1) AS canonical,
-         regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]{0,900}\bhttp-equiv\s{0,9}=\s{0,9}["'']?refresh\b[^>]{0,900}>'), '(?i)\burl\s{0,9}=\s{0,9}["'']?([^"''\s>]+)', 1) AS refresh
-  FROM pages
-), u AS (
-  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p
-), links AS (
-  SELECT page_id, rest FROM p
-  UNION ALL SELECT page_id, substr(canonical, strpos(canonical, '://') + 3) FROM p WHERE strpos(canonical, '://') > 0
-  UNION ALL SELECT page_id, substr(refresh, strpos(refresh, '://') + 3) FROM p WHERE strpos(refresh, '://') > 0
+WITH RECURSIVE rules(verdict, h, p) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), tags AS (
+  SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
+), urls AS (
+  SELECT page_id, url, true AS own FROM pages
+  UNION ALL SELECT page_id, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), false FROM tags WHERE regexp_matches(tag, '(?i)^<link.*\brel\s*=\s*["'']?canonical\b')
+  UNION ALL SELECT page_id, regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1), false FROM tags WHERE regexp_matches(tag, '(?i)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b')
+), rests AS (
+  SELECT page_id, own, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls
+), cuts AS (
+  SELECT page_id, own, rest, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rests
+), places AS (
+  SELECT c.page_id, c.own, c.host, c.path, c.rest, (SELECT arg_max(struct_pack(v := verdict, r := h || p), length(h || p)) FROM rules WHERE (c.host = h OR ends_with(c.host, '.' || h)) AND starts_with(c.path, p)) AS fit FROM cuts c
 ), named AS (
-  SELECT DISTINCT page_id, regexp_replace(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\.', '')
-         || regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/$', '') || '?'
+  SELECT DISTINCT page_id, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') || '?'
          || array_to_string(list_filter(string_split(substr(regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1), 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid|ref)(=|$)')), '&') AS address
-  FROM links WHERE regexp_extract(rest, '^([^/?#]*)', 1) <> ''
+  FROM places WHERE host <> ''
 ), e AS (
   SELECT a.page_id AS a, b.page_id AS b FROM named a JOIN (SELECT address, min(page_id) AS page_id FROM named GROUP BY address) b USING (address) WHERE a.page_id <> b.page_id
 ), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -37,20 +40,11 @@ r AS (
   SELECT page_id AS n, page_id AS c FROM pages
   UNION SELECT x.b, r.c FROM r JOIN both_ways x ON x.a = r.n
 ), comp AS (SELECT n AS page_id, min(c) AS component FROM r GROUP BY n),
-fit AS (
-  SELECT u.page_id, host, path, component,
-    CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-         WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
-         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
-         WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
-         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
-  FROM u JOIN comp USING (page_id)
-), own AS (
-  SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS v FROM fit
+spread AS (
+  SELECT component, bool_or(fit.v = 'allow') AS allowed FROM places JOIN comp USING (page_id) WHERE fit IS NOT NULL GROUP BY component
 )
-SELECT page_id, host, path, rule,
-  coalesce(v, CASE WHEN bool_or(coalesce(v = 'allow', false)) OVER w THEN 'allow' WHEN bool_or(coalesce(v = 'block', false)) OVER w THEN 'block' END, 'allow') AS verdict
-FROM own WINDOW w AS (PARTITION BY component)"""
+SELECT page_id, host, path, fit.r AS rule, coalesce(fit.v, CASE WHEN allowed THEN 'allow' WHEN NOT allowed THEN 'block' END, 'allow') AS verdict
+FROM places JOIN comp USING (page_id) LEFT JOIN spread USING (component) WHERE own"""
 
 _OP8 = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

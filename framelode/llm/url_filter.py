@@ -1,14 +1,19 @@
 """URL filters with redirect equivalence, in DataFrame functions only.
 
 Rules name a host and a path; a rule fits its host and all subdomains where the url's path starts with the rule's, and the longest
-fitting rule decides. Pages are aliases when they share an address: the url without scheme, `www.`, fragment, tracking parameters and
-last slash; the target of a canonical link; the target of a refresh redirect, both resolved against the page's base and url. Each address ties its pages to the smallest page_id, and
-connected components over these ties spread decisions: a page without a rule is allowed if a page of its component is allowed by a
-rule, else blocked if one is blocked, else allowed. A page's own rule always stands.
-
-Null urls, or ones without `://`: empty host and path, no rule, tied by their absolute links alone, allowed if nothing blocks them. Null page_id:
-judged by rules alone. Pages that repeat a page_id: one node, blocked and allowed together. Empty table: no rows. Only page_id, url and
-html are read.
+fitting rule decides, of the same length an allowing one, then the last in order. Pages are aliases when they share an address: the url
+without scheme, `www.`, fragment, tracking parameters and last slash; the target of a canonical link; the target of a refresh redirect,
+both resolved against the page's base and url. Each address ties its pages to the smallest page_id, and connected components over these
+ties spread decisions: a page without a rule is allowed if a page of its component, or an address that one of them links to, is allowed
+by a rule, else blocked if one is blocked, else allowed. So a target decides even where no page of it is in the table. A page's own rule
+always stands.
+
+Up to INLINE_RULES rules are tests in the plan; beyond that, or where they come as a table, rules are joined by equality on the host's
+suffixes and on path prefixes of the lengths that occur with that host, whatever their number.
+
+Null urls, or ones without `://`: empty host and path, no rule, tied by their absolute links alone, allowed if nothing blocks them. Null
+page_id: judged by rules alone. Pages that repeat a page_id: one node, blocked and allowed together. Very long urls and html are read
+whole. Empty table: no rows. Only page_id, url and html are read, so names of other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from .graph import connected_components
 
 #: (verdict, host and path).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Rules are part of the plan; more than this many would not be.
-MOST_RULES = 2000
+#: Rules that are part of the plan; more are joined.
+INLINE_RULES = 50
 _TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref)"
 
 
@@ -81,41 +86,66 @@ def _first_tag(html: Column, name: str, needed: str) -> Column:
 
 
 def _linked(html: Column, url: Column) -> Column:
-    """Addresses that a page names as its own: the canonical link's and the refresh redirect's."""
+    """(address, host, path) of what a page names as its own: the canonical link's target and the refresh redirect's."""
     value = r"\s*+=\s*+[\"']?"
     href, to = rf"(?i)\bhref{value}([^\"'\s>]+)", rf"(?i)\burl{value}([^\"'\s>]+)"
     link = F.regexp_extract(_first_tag(html, "link", rf"\brel{value}canonical\b"), href, 1)
     turn = F.regexp_extract(_first_tag(html, "meta", rf"\bhttp-equiv{value}refresh\b"), to, 1)
     own = F.regexp_extract(_first_tag(html, "base", rf"\bhref{value}"), href, 1)
     targets = F.filter(F.array(link, turn), lambda x: x != "")
-    return F.transform(targets, lambda x: _let(_let(own, lambda b: F.coalesce(_resolved(b, url), url)), lambda b: _let(_resolved(x, b), address_of)))
+    return F.transform(targets, lambda x: _let(_let(own, lambda b: F.coalesce(_resolved(b, url), url)), lambda b: _let(_resolved(x, b), lambda t: F.struct(address_of(t).alias("address"), host_of(t).alias("host"), path_of(t).alias("path")))))
 
 
-def _fitting(rules: list[tuple[str, str]], host: Column, path: Column) -> Column:
+_FIT = "struct<verdict:string,rule:string>"
+
+
+def _longest(rules: list[tuple[str, str]], host: Column, path: Column) -> Column:
     """The longest rule that fits, as (verdict, rule), or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    out = F.lit(None).cast("struct<verdict:string,rule:string>")
-    for verdict, rule in sorted(rules, key=lambda x: len(x[1])):
+    out = F.lit(None).cast(_FIT)
+    for verdict, rule in sorted(rules, key=lambda x: (len(x[1]), x[0] == "allow", x[1])):
         own, slash, rest = rule.partition("/")
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(slash + rest)
         out = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule"))).otherwise(out)
     return out
 
 
-def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per row of pages: page_id, host, path, rule, verdict."""
+def _joined(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, fit) of the distinct places that a rule fits. rules: verdict, rule."""
+    own = rules.select("verdict", "rule", F.substring_index("rule", "/", 1).alias("own")).withColumn("start", F.expr("substring(rule, length(own) + 1)"))
+    own = C.cut(own.groupBy("own", "start", "rule").agg(F.min("verdict").alias("verdict")).withColumn("n", F.length("start")), "rules")
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    wide = places.filter("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("own"))
+    keyed = wide.join(own.select("own", "n").distinct(), "own").filter(F.length("path") >= F.col("n")).select("host", "path", "own", F.expr("substring(path, 1, n)").alias("start"))
+    fit = F.max_by(F.struct("verdict", "rule"), F.struct(F.length("rule"), F.col("verdict") == "allow", "rule"))
+    return keyed.join(own, ["own", "start"]).groupBy("host", "path").agg(fit.alias("fit"))
+
+
+def _with_fit(rows: DataFrame, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """rows, which have host and path, with fit: (verdict, rule) or null."""
+    if isinstance(rules, list) and len(rules) <= INLINE_RULES:
+        return rows.withColumn("fit", _longest(rules, F.col("host"), F.col("path")))
+    table = rows.sparkSession.createDataFrame(rules, "verdict string, rule string") if isinstance(rules, list) else rules.select("verdict", "rule")
+    return rows.join(_joined(rows, table), ["host", "path"], "left")
+
+
+def judge_pages(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """One row per row of pages: page_id, host, path, rule, verdict. rules: (verdict, host and path), as a list or a table of these names."""
     rules = RULES if rules is None else rules
     url, html = F.col("url").cast("string"), F.col("html").cast("string")
-    named = F.array_distinct(F.filter(F.concat(F.array(address_of(url)), F.coalesce(_linked(html, url), F.array())), lambda x: x.isNotNull()))
-    judged = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), named.alias("named"))
-    judged = C.cut(judged.withColumn("fit", _fitting(rules, F.col("host"), F.col("path"))), "pages")
-    keys = judged.filter("page_id is not null").select("page_id", F.explode("named").alias("address"))
+    targets = F.filter(F.coalesce(_linked(html, url), F.array()), lambda x: x["address"].isNotNull())
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), address_of(url).alias("address"), targets.alias("targets"))
+    rows = C.cut(rows, "pages")
+    judged = C.cut(_with_fit(rows.select("page_id", "host", "path"), rules), "judged")
+    linked = rows.filter("page_id is not null").select("page_id", F.explode("targets").alias("t")).select("page_id", "t.*")
+    keys = rows.filter("page_id is not null and address is not null").select("page_id", "address").unionByName(linked.select("page_id", "address")).distinct()
     first = keys.groupBy("address").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("address", "first")
     ties = keys.join(first, "address").filter("page_id <> first").select("page_id", "first")
-    groups = connected_components(ties, "aliases")
+    groups = connected_components(ties, "aliases").withColumnRenamed("node", "page_id")
     # a page without ties is its own component, so that no key gathers such pages
-    member = judged.join(groups.withColumnRenamed("node", "page_id"), "page_id", "left").withColumn("component", F.coalesce("component", "page_id"))
-    spread = member.filter("fit is not null").groupBy("component").agg(F.max(F.col("fit.verdict") == "allow").alias("any_allow"), F.max(F.col("fit.verdict") == "block").alias("any_block"))
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("any_allow"), "allow"), F.when(F.col("any_block"), "block"), F.lit("allow"))
+    decided = judged.filter("page_id is not null and fit is not null").select("page_id", "fit.verdict").unionByName(_with_fit(linked.select("page_id", "host", "path"), rules).filter("fit is not null").select("page_id", "fit.verdict"))
+    component = F.coalesce("component", "page_id").alias("component")
+    spread = decided.groupBy("page_id").agg(F.min("verdict").alias("verdict")).join(groups, "page_id", "left").groupBy(component).agg(F.min("verdict").alias("spread"))
+    member = judged.join(groups, "page_id", "left").select("page_id", "host", "path", "fit", component)
+    verdict = F.coalesce(F.col("fit.verdict"), "spread", F.lit("allow"))  # "allow" is the lesser of the two words, so it goes first
     return member.join(spread, "component", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))

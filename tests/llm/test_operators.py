@@ -507,6 +507,37 @@ def test_url_targets_of_all_forms(spark):
     assert url_filter.judge_pages(spark.createDataFrame([(1, "http://a.b/c", text)], "page_id long, url string, html string")).first().verdict == "allow"
 
 
+def test_targets_that_are_not_crawled_decide(spark):
+    def link(to):
+        return f'<link rel="canonical" href="{to}">'
+
+    rows = [
+        (1, "http://x.net/a", link("http://shop.com/de/1")), (2, "http://y.net/a", link("http://shop.com/de/2")), (3, "http://y.net/b", link("http://y.net/a")), (4, "http://z.net/a", link("http://shop.com/de/3")),
+        (5, "http://z.net/a?utm_a=1", link("http://shop.com/fr/3")), (6, "http://q.net", ""), (6, "http://q.net/x", link("http://shop.com/de/2")), (7, "http://q.net", ""),
+    ]
+    pages = spark.createDataFrame([(*r, "e", "f") for r in rows], "page_id long, url string, html string, host string, fit string")
+    got = [(r.page_id, r.verdict) for r in url_filter.judge_pages(pages).collect()]
+    assert sorted(got) == [(1, "block"), (2, "block"), (3, "block"), (4, "allow"), (5, "allow"), (6, "block"), (6, "block"), (7, "block")]
+
+
+def test_rules_joined_as_in_the_plan(spark):
+    rnd = random.Random(41)
+    hosts = ["a.com", "b.a.com", "com", "x.b.a.com", "ba.com", "org", "q.org", ""]
+    paths = ["/", "/x", "/x/", "/x/y", "/xy", "", "/é/z"]
+    rules = list({(rnd.choice(hosts[:-1]) + (rnd.choice(paths[:-2]) or "/")): rnd.choice(["allow", "block"]) for _ in range(25)}.items())
+    rules = [(v, r) for r, v in rules] + [("block", "q.org/twice"), ("allow", "q.org/twice")]
+    rows = [(i, None if i % 17 == 0 else f"http://{rnd.choice(hosts)}{rnd.choice(paths)}{rnd.choice(['', 'twice', '?q', '#x'])}", None) for i in range(300)]
+    rows += [(1000, "http://q.org/twice", "<html>" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = sorted(map(tuple, url_filter.judge_pages(pages, rules).collect()))
+    by_table = url_filter.judge_pages(pages, spark.createDataFrame(rules, "verdict string, rule string"))
+    assert sorted(map(tuple, by_table.collect())) == one and len(one) == 301
+    assert one[-1][3:] == ("q.org/twice", "allow")
+    for _, host, path, rule, _ in one:
+        fits = [r for _, r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        assert len(rule or "") == max(map(len, fits), default=0)
+
+
 def test_mixing(spark, odd):
     cells = [("a", "en", "article", 900), ("a", "fr", "note", 50), ("b", "en", "note", 30), ("b", "fr", "article", 20), ("c", "de", "article", 0)]
     weight = mixing.rake(cells, {"source": None, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"article": 0.6}}, 200, budget=0.001)
