@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: each stage's result is written as Parquet and read again as the next one's input."""
+"""A training corpus from raw documents: each stage's result is written as Parquet and read again as the next one's input.
+
+Null text, empty text and text without words go in the first stage, as too short. Rows that repeat a doc_id stay or go together in near
+deduplication and are judged alone elsewhere; null doc_ids are in no group of copies and are drawn alike. Very long texts are read whole.
+Other columns are carried, whatever their names. Empty tables give no rows. A stage's intermediate tables are deleted once its result is
+written; what the last stage's result reads stays.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops recurring template lines, all but the first, and documents that lose their last word."""
-    return line_dedup.deduplicate_lines(docs)
+    """Drops recurring template lines, all but the first, and documents that this takes below the first stage's number of words."""
+    return line_dedup.deduplicate_lines(docs, quality.MIN_WORDS)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +50,13 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = common.read(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), "stage")
+        with common.Scope() as scope:
+            docs = scope.kept(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            before.drop()
+        (before,) = scope.stays
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
