@@ -8,9 +8,11 @@ shingle. Two documents are linked when 100 x intersection >= percent x union of
    threshold shares no band with a chance under MISS; what is left of MISS bounds the loss by step 3.
 3. In each bucket (band and its minima) that holds two classes or more, all members are paired with one pivot. Pairs are dropped if
    their signatures agree in fewer places than a pair at the threshold does but for that chance, then confirmed on whole sets.
-4. Links go to components. In buckets whose members still lie in several components, the members outside the bucket's largest
-   component are compared with all others, in blocks inside tasks: signatures first, whole sets then, and only links leave a task.
-   So a large group of near copies costs rows in proportion, and no link between members of a bucket is lost.
+4. Links go to components. Where a bucket's members still lie in several components, all of its members are joined again, exactly,
+   by prefixes: shingles are put in order of how many such documents hold them, those within one component first, and two linked
+   sets of different components have their first common shingle near the front of both. Only documents that meet in such a shingle
+   are compared: lengths, what the places of the shingle leave possible, signatures, and then whole sets of the pairs that remain.
+   So near copies that differ in words of their own are never compared with each other, however many share a bucket.
 5. Components over all links give the smallest doc_id.
 
 Null or empty text, or one of white space: empty set, linked with nothing. Null doc_id: no member of any group, component_id null,
@@ -34,8 +36,8 @@ from .graph import connected_components
 #: Chance that two documents at the threshold share no band or fail the signature check.
 MISS = 1e-5
 BAND_ROWS = 6
-#: Rows and shingles of one side of a block.
-BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Rows of one side of a block.
+BLOCK_ROWS = 1024
 _CHUNK = 1 << 15
 
 
@@ -138,33 +140,24 @@ def _linked(percent: int):
 
 
 def _cross_block(family: Family):
-    """Links between the two sides of a block: members of different components that meet in this band first."""
+    """Pairs of different components that may be linked, among documents that hold one shingle in their prefixes."""
 
     def compare(table: pa.Table) -> pa.Table:
-        doc = table.column("doc_id").to_numpy()
-        part = table.column("component").to_numpy()
-        side = table.column("outer").to_numpy(zero_copy_only=False)
-        band = table.column("band")[0].as_py()
+        doc, part, size, place = (table.column(x).to_numpy() for x in ("doc_id", "component", "n", "place"))
+        indexed, outer = (table.column(x).to_numpy(zero_copy_only=False) for x in ("indexed", "outer"))
         minima = np.frombuffer(b"".join(table.column("minima").to_pylist()), np.uint16).reshape(-1, family.hashes)
-        sets = table.column("shingles").combine_chunks()
-        at, values = sets.offsets.to_numpy(), sets.values.to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        left, right = np.flatnonzero(outer == 0), np.flatnonzero(outer == 1)
         found = []
         for i in left:
-            others = right[part[right] != part[i]]
-            equal = minima[others] == minima[i]
-            near = others[equal.sum(1) >= family.least_equal]
-            if not len(near):
-                continue
-            own = values[at[i] : at[i + 1]]
-            for j in near:
-                whole = (minima[j] == minima[i]).reshape(family.bands, family.rows).all(1)
-                if int(np.argmax(whole)) != band:
-                    continue
-                other = values[at[j] : at[j + 1]]
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * common >= family.percent * (len(own) + len(other) - common):
-                    found.append((int(doc[i]), int(doc[j])))
+            n, m = size[i], size[right]
+            least, most = np.minimum(n, m), np.maximum(n, m)
+            left_over = np.minimum(n - place[i], m - place[right])
+            # the smaller one (of equals, the one with the smaller id) must hold the shingle in its shorter prefix
+            short = np.where((m < n) | ((m == n) & (doc[right] < doc[i])), indexed[right], indexed[i])
+            fit = (part[right] != part[i]) & short & (100 * least >= family.percent * most) & ((100 + family.percent) * left_over >= family.percent * (n + m))
+            others = right[fit]
+            near = others[(minima[others] == minima[i]).sum(1) >= family.least_equal]
+            found += [(int(doc[i]), int(doc[j])) if doc[i] < doc[j] else (int(doc[j]), int(doc[i])) for j in near]
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return compare
@@ -173,51 +166,69 @@ def _cross_block(family: Family):
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = BAND_ROWS) -> DataFrame:
     """One row per row of docs with a doc_id: doc_id, n_shingles, component_id, kept.
 
-    docs: doc_id, text. component_id is the smallest doc_id reachable by links, kept tells whether it is the row's own.
+    docs: doc_id, text. component_id is the smallest doc_id reachable by links, kept tells whether it is the row's own. The result is
+    written; the tables that it was made from are deleted.
     """
     family = Family(percent, rows)
-    signed = C.cut(signatures(docs, shingle, family), "minhash")
-    classes = signed.filter("doc_id is not null and same is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n_shingles", "minima")).alias("r"))
-    classes = C.cut(classes.select("same", "r.*"), "classes")
-    width = 2 * family.rows
-    keys = F.transform(F.sequence(F.lit(0), F.lit(family.bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.expr("minima").substr(i * width + 1, F.lit(width))).alias("bucket")))
-    members = classes.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.bucket")
-    # written, so that the join meets a plain shuffle, which adaptive execution may split at hot buckets
-    pivots = C.cut(members.groupBy("band", "bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", "pivot"), "pivots")
-    # only members of buckets that hold two classes or more go on
-    shared = C.Cut(members.join(pivots, ["band", "bucket"]).select("band", "bucket", "doc_id", "pivot"), "buckets")
-    candidates = shared.df.select("doc_id").distinct()
-    sets = C.Cut(whole_sets(_texts(docs).join(candidates, "doc_id", "left_semi"), shingle), "sets")
-    pairs = shared.df.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    light = classes.select("doc_id", "minima")
-    near = pairs.join(light.select(F.col("doc_id").alias("a"), F.struct("minima").alias("x")), "a").join(light.select(F.col("doc_id").alias("b"), F.struct("minima").alias("y")), "b").filter(_agree(family)).select("a", "b")
-    star = near.join(sets.df.select(F.col("doc_id").alias("a"), F.struct("shingles").alias("x")), "a").join(sets.df.select(F.col("doc_id").alias("b"), F.struct("shingles").alias("y")), "b").filter(_linked(percent)).select("a", "b")
-    links = C.Cut(star, "links")
-    first = C.Cut(connected_components(links.df), "first")
-    rest = C.Cut(_rest(shared.df, first.df, light, sets.df, family), "rest")
-    groups = first.df
-    if rest.df.first() is not None:
-        groups = connected_components(first.df.toDF("a", "b").unionByName(rest.df))
-    by_class = classes.select("same", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("same", F.coalesce("component", "doc_id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "same").join(by_class, "same", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with C.Scope() as scope:
+        signed = C.cut(signatures(docs, shingle, family), "minhash")
+        classes = signed.filter("doc_id is not null and same is not null").groupBy("same").agg(F.min(F.struct("doc_id", "n_shingles", "minima")).alias("r"))
+        classes = C.cut(classes.select("same", "r.*"), "classes")
+        width = 2 * family.rows
+        keys = F.transform(F.sequence(F.lit(0), F.lit(family.bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.expr("minima").substr(i * width + 1, F.lit(width))).alias("bucket")))
+        members = classes.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.bucket")
+        # written, so that the join meets a plain shuffle, which adaptive execution may split at hot buckets
+        pivots = C.cut(members.groupBy("band", "bucket").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", "pivot"), "pivots")
+        # only members of buckets that hold two classes or more go on
+        shared = C.cut(members.join(pivots, ["band", "bucket"]).select("band", "bucket", "doc_id", "pivot"), "buckets")
+        sets = C.cut(whole_sets(_texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
+        light = classes.select("doc_id", "minima")
+        pairs = shared.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+        near = pairs.join(light.select(F.col("doc_id").alias("a"), F.struct("minima").alias("x")), "a").join(light.select(F.col("doc_id").alias("b"), F.struct("minima").alias("y")), "b").filter(_agree(family)).select("a", "b")
+        first = C.cut(connected_components(C.cut(_confirmed(near, sets, percent), "links")), "first")
+        rest = C.cut(_confirmed(_rest(shared, first, light, sets, family), sets, percent), "rest")
+        groups = first
+        if rest.first() is not None:
+            groups = connected_components(first.toDF("a", "b").unionByName(rest))
+        by_class = classes.select("same", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("same", F.coalesce("component", "doc_id").alias("component"))
+        out = signed.select("doc_id", "n_shingles", "same").join(by_class, "same", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        return scope.kept(out, "duplicates")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked."""
+    x, y = sets.select(F.col("doc_id").alias("a"), F.struct("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.struct("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").filter(_linked(percent)).select("a", "b").distinct()
 
 
 def _rest(shared: DataFrame, groups: DataFrame, light: DataFrame, sets: DataFrame, family: Family) -> DataFrame:
-    """Links across the components that remain inside a bucket."""
+    """Pairs that may be linked across the components that remain inside a bucket, by the prefixes of their sets."""
     member = shared.select("band", "bucket", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    member = member.join(sets.select("doc_id", F.size("shingles").cast("long").alias("n")), "doc_id")
-    parts = member.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"), F.sum("n").alias("s"))
-    total = parts.groupBy("band", "bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", F.negative("component").alias("c"))).alias("main")).filter("parts > 1")
-    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_ROWS, s / BLOCK_SHINGLES)).cast("int")
-    total = total.select("band", "bucket", F.negative(F.col("main.c")).alias("main"), blocks(F.col("n"), F.col("s")).alias("all_blocks"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("few_blocks"))
-    open_ = member.select("band", "bucket", "doc_id", "component").join(total, ["band", "bucket"])
+    several = member.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band", "bucket")
+    open_ = C.cut(member.join(several, ["band", "bucket"]).select("doc_id", "component").distinct(), "open")
+    held = sets.join(open_, "doc_id").select("doc_id", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    crossing = held.groupBy("s").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("s", "f")
+    order = held.join(C.cut(crossing, "crossing"), "s").groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("c"))
+    # the places of a set's front: those of shingles within one component, then the others by frequency
+    percent = family.percent
+    own, probed, indexed = F.col("n") - F.size("c"), F.expr(f"n - ceil({percent} * n / 100) + 1"), F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1")
+    front = order.select("doc_id", "component", "n", own.alias("own"), indexed.alias("indexed"), F.slice("c", F.lit(1), F.greatest(F.lit(0), probed - own).cast("int")).alias("c"))
+    front = front.select("doc_id", "component", "n", "own", "indexed", F.posexplode("c").alias("at", "c"))
+    place = F.col("own") + F.col("at")
+    front = C.cut(front.select("doc_id", "component", "n", place.alias("place"), (place < F.col("indexed")).alias("indexed"), F.col("c.s").alias("s")), "fronts")
+    parts = front.groupBy("s", "component").agg(F.count("*").alias("n"), F.max("indexed").alias("indexed"))
+    total = parts.groupBy("s").agg(F.count("*").alias("parts"), F.max("indexed").alias("any"), F.sum("n").alias("n"), F.max(F.struct("n", F.negative("component").alias("c"))).alias("main")).filter("parts > 1 and any")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    total = total.select("s", F.negative(F.col("main.c")).alias("main"), blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("main.n")).alias("few_blocks"))
+    meeting = front.join(C.cut(total, "meetings"), "s")
     spread = F.xxhash64("doc_id")
-    every = open_.select("band", "bucket", "doc_id", "component", F.lit(1).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), F.pmod(spread, "all_blocks").cast("int").alias("j"))
-    few = open_.filter("component <> main").select("band", "bucket", "doc_id", "component", F.lit(0).alias("outer"), F.pmod(spread, "few_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
-    rows = every.unionByName(few).join(light, "doc_id").join(sets, "doc_id")
-    return rows.groupBy("band", "bucket", "i", "j").applyInArrow(_cross_block(family), "a long, b long").distinct()
+    columns = ("s", "doc_id", "component", "n", "place", "indexed")
+    every = meeting.select(*columns, F.lit(1).alias("outer"), F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("i"), F.pmod(spread, "all_blocks").cast("int").alias("j"))
+    few = meeting.filter("component <> main").select(*columns, F.lit(0).alias("outer"), F.pmod(spread, "few_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"))
+    rows = every.unionByName(few).join(light, "doc_id")
+    return C.cut(rows.groupBy("s", "i", "j").applyInArrow(_cross_block(family), "a long, b long").distinct(), "maybe")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = BAND_ROWS) -> DataFrame:

@@ -235,6 +235,38 @@ def test_near_duplicates(spark, size, percent):
     assert {r.doc_id for r in left.collect()} == set(want.values())
 
 
+def test_near_copies_that_are_mostly_not_linked(spark):
+    rnd = random.Random(51)
+    base = [f"base{i}" for i in range(60)]
+    texts = []
+    for i in range(160):
+        own = list(base)
+        for k in range(rnd.choice([1, 2, 3, 4, 6])):
+            own[rnd.randrange(60)] = rnd.choice([f"own{i}x{k}", f"pool{rnd.randrange(6)}"])
+        texts.append((i, " ".join(own[: rnd.choice([60, 60, 57])])))
+    want = components(texts, 3, 85)
+    assert len(set(want.values())) > 10 and len(set(want.values())) < 150
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(spark, texts), 3, 85).collect()}
+    assert got == want
+
+
+def test_unlinked_near_copies_are_not_compared_in_pairs(spark):
+    """Copies of one text with words of their own share buckets, but no front of their sets."""
+    base = [f"base{i}" for i in range(100)]
+    docs = []
+    for i in range(60):
+        own = list(base)
+        for k in range(0, 100, 20):
+            own[k] = f"own{i}x{k}"
+        docs.append((i, " ".join(own)))
+    family = minhash.Family(85)
+    texts = table(spark, docs)
+    ids = spark.createDataFrame([(0, 0, i, 0) for i in range(60)], "band int, bucket long, doc_id long, pivot long")
+    light = minhash.signatures(texts, 3, family).select("doc_id", "minima")
+    none = spark.createDataFrame([], "node long, component long")
+    assert minhash._rest(ids, none, light, minhash.whole_sets(texts.select("doc_id", "text"), 3), family).count() == 0
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_banding_and_signature_check_miss_less_than_stated(percent):
     own, share = minhash.Family(percent), percent / 100
