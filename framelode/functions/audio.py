@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,8 +127,125 @@ def pq_nits(code: Column) -> Column:
 
 
 def letterbox(width: Column, height: Column, aspect: Column, to_width: int, to_height: int) -> list[Column]:
-    """out_w, out_h, x, y of a picture fitted and centred, its samples `aspect` wide; 1 pixel at least."""
-    shown = width * aspect
-    scale = F.least(F.lit(float(to_width)) / shown, F.lit(float(to_height)) / height)
-    out_w, out_h = (F.greatest(F.lit(1), F.round(v * scale).cast("long")) for v in (shown, height))
+    """out_w, out_h, x, y of a picture fitted and centred, its samples `aspect` wide; 1 pixel at least, the target at most.
+
+    Without a size the whole target; an aspect that is none, or out of 0.01 to 100, counts as 1.
+    """
+    sane = F.when(aspect.between(0.01, 100.0) & ~F.isnan(aspect.cast("double")), aspect.cast("double")).otherwise(1.0)
+    shape = width * sane / height
+    wide = shape > to_width / to_height
+    fit = lambda v, most: F.greatest(F.lit(1), F.least(F.round(v).cast("long"), F.lit(most)))
+    out_w = F.when(wide, to_width).otherwise(fit(to_height * shape, to_width))
+    out_h = F.when(wide, fit(to_width / shape, to_height)).otherwise(to_height)
+    real = (width > 0) & (height > 0) & F.lit(to_width > 0 and to_height > 0)
+    out_w, out_h = (F.when(real, v).otherwise(most).cast("long") for v, most in ((out_w, to_width), (out_h, to_height)))
     return [out_w.alias("out_w"), out_h.alias("out_h"), F.floor((to_width - out_w) / 2).alias("x"), F.floor((to_height - out_h) / 2).alias("y")]
+
+
+# BT.2020 to BT.709, luminance weights, white and peak in nits.
+TO_709 = [(1.660496, -0.587656, -0.072840), (-0.124547, 1.132895, -0.008348), (-0.018154, -0.100597, 1.118751)]
+LUMA_709 = (0.2126, 0.7152, 0.0722)
+WHITE_NITS, PEAK_NITS = 203.0, 1000.0
+
+
+def tone_map(rgb: Column) -> Column:
+    """PQ-coded BT.2020 red, green and blue as an array, to gamma-2.2 coded BT.709: light, matrix, Reinhard map of the luminance."""
+    clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    dot = lambda weights, v: sum(w * F.get(v, F.lit(i)) for i, w in enumerate(weights))
+    light = F.transform(rgb, lambda c: pq_nits(clamp(c)))
+    linear = lambda v: F.array(*[F.greatest(dot(row, v), F.lit(0.0)) / WHITE_NITS for row in TO_709])
+    white = PEAK_NITS / WHITE_NITS
+
+    def mapped(v: Column) -> Column:
+        luma = dot(LUMA_709, v)
+        scale = F.when(luma > 1e-6, (1 + luma / (white * white)) / (1 + luma)).otherwise(0.0)
+        return F.transform(v, lambda c: F.pow(clamp(c * scale), F.lit(1 / 2.2)))
+
+    return F.get(F.transform(F.transform(F.array(light), linear), mapped), F.lit(0))
+
+
+def gain_of(value: Column) -> Column:
+    """AC-3 dynamic range gain of a byte: a three-bit exponent with sign and five bits of fraction."""
+    exponent = F.shiftright(value, 5).bitwiseAND(7)
+    return (32 + value.bitwiseAND(31)) / 64 * F.pow(F.lit(2.0), F.when(exponent >= 4, exponent - 8).otherwise(exponent) + 1)
+
+
+# AC-3 bit rates in kbit/s and words of a frame at 44.1 kHz.
+AC3_RATES = [32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640]
+AC3_WORDS_44100 = [69, 87, 104, 121, 139, 174, 208, 243, 278, 348, 417, 487, 557, 696, 835, 975, 1114, 1253, 1393]
+
+
+def ac3_frame_words(rate: Column, code: Column) -> Column:
+    """16-bit words of an AC-3 frame by sampling-rate code (0: 48, 1: 44.1, 2: 32 kHz) and frame-size code; 0 where there is none."""
+    at = lambda table: F.get(F.lit(table), F.shiftright(code, 1))
+    words = F.when(rate == 0, at(AC3_RATES) * 2).when(rate == 1, at(AC3_WORDS_44100) + code.bitwiseAND(1)).when(rate == 2, at(AC3_RATES) * 3)
+    return F.coalesce(F.when(code.between(0, 37), words), F.lit(0)).cast("long")
+
+
+def dequantize(value: Column, factor: Column) -> Column:
+    """AAC: the value to the power of 4/3, sign kept, times two to a quarter of what the scale factor is over 100."""
+    return F.signum(value.cast("double")) * F.pow(F.abs(value).cast("double"), F.lit(4 / 3)) * F.pow(F.lit(2.0), (factor - 100) * 0.25)
+
+
+def noise(seed: int, count: int) -> Column:
+    """The first values of a 32-bit xorshift sequence (13, 17, 5), from -1 to 1."""
+    low = 0xFFFFFFFF
+
+    def step(acc: Column, _: Column) -> Column:
+        let = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))
+        state = let(acc["s"].bitwiseXOR(F.shiftleft(acc["s"], 13).bitwiseAND(low)), lambda a: let(a.bitwiseXOR(F.shiftright(a, 17)), lambda b: b.bitwiseXOR(F.shiftleft(b, 5).bitwiseAND(low))))
+        return let(state, lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.when(s >= 1 << 31, s - (1 << 32)).otherwise(s) / ((1 << 31) - 1))).alias("out")))
+
+    start = F.struct(F.lit(seed).cast("long").alias("s"), F.expr("cast(array() as array<double>)").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count)), start, step, lambda acc: acc["out"])
+
+
+# Fixed value: the ceiling of the downmix limiter.
+LIMIT = 0.98
+
+
+def limiter_gains(peaks: Column, rate: int, frame: int = 1024) -> Column:
+    """Gain of each frame of a track by its peak: down at once, up again slowly."""
+    release = 1 - math.exp(-frame / rate)
+
+    def step(acc: Column, peak: Column) -> Column:
+        target, last = F.when(peak > LIMIT, LIMIT / peak).otherwise(1.0), F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(1.0))
+        return F.concat(acc, F.array(F.when(target < last, target).otherwise(last + (target - last) * release)))
+
+    return F.aggregate(peaks, F.expr("cast(array() as array<double>)"), step)
+
+
+def bessel_i0(x: float) -> float:
+    """The series of the modified Bessel function of order 0, under 40 terms, up to a relative 1e-15."""
+    total = term = 1.0
+    for k in range(1, 40):
+        term *= x * x / 4 / (k * k)
+        total += term
+        if term < total * 1e-15:
+            break
+    return total
+
+
+def sine_window(length: int) -> list[float]:
+    return [math.sin(math.pi * (i + 0.5) / (2 * length)) for i in range(length)]
+
+
+def kbd_window(length: int, alpha: float) -> list[float]:
+    """Kaiser-Bessel derived: roots of the running share of a Kaiser window's sum."""
+    kaiser = [bessel_i0(math.pi * alpha * math.sqrt(max(0.0, 1 - (2 * i / (length - 1) - 1) ** 2))) for i in range(length)]
+    return np.sqrt(np.cumsum(kaiser) / sum(kaiser)).tolist()
+
+
+def imdct(spectrum: np.ndarray) -> np.ndarray:
+    """N coefficients to 2N samples: cos(pi / N (n + 1/2 + N/2)(k + 1/2)), summed by one complex transform, over N."""
+    n = len(spectrum)
+    turned = spectrum * np.exp(1j * np.pi * (n + 1) / (2 * n) * (np.arange(n) * 1.0))
+    wave = np.fft.ifft(turned, 2 * n) * 2 * n
+    return (wave * np.exp(1j * np.pi / (2 * n) * (np.arange(2 * n) + (n + 1) / 2))).real / n
+
+
+def overlap_add(blocks: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Windowed blocks of 2N samples to N samples each: the first half of one is added to the second half of the one before."""
+    n = blocks.shape[1] // 2
+    shaped = blocks * np.concatenate([window, window[::-1]])
+    return shaped[:, :n] + np.concatenate([np.zeros((1, n)), shaped[:-1, n:]])

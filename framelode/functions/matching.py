@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 _EPISODE = "^ep?([0-9]{1,4})$"
 _DATE = "^([0-9]{6}|[0-9]{8})$"
+# Least shares of stable tokens in common, with and without a leading title token.
+LEADING_SHARE, SHARE = 0.40, 0.75
 
 
 def dot_tokens(stem: Column) -> Column:
@@ -43,14 +45,19 @@ def leading_tokens(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column, same_extension: Column) -> Column:
-    """Score of two parsed files (tokens and stable tokens); null under the thresholds: a title in common, 0.40 alike, 0.75 without one leading."""
+    """Score of two parsed files (tokens and stable tokens); null without a title token in common, or too few stable ones.
+
+    With a leading title token in common, two stable tokens (or all, if fewer) and a share of 0.40; without, three and 0.75.
+    """
     title = lambda f: F.slice(f["tokens"], 1, episode_at(f["tokens"]))
-    leading, common = leading_tokens(title(a), title(b)), common_tokens(title(a), title(b))
-    shared, most = common_tokens(a["stable"], b["stable"]), F.greatest(F.size(a["stable"]), F.size(b["stable"]))
-    share = F.coalesce(F.try_divide(shared, most), F.lit(0.0))
-    apart = F.abs(F.size(a["stable"]) - F.size(b["stable"]))
-    score = leading * 10000 + F.round(share * 1000).cast("long") + common * 100 - apart * 10 + F.when(same_extension, 5).otherwise(0)
-    return F.when((common > 0) & (share >= 0.4) & ((leading > 0) | (share >= 0.75)), score)
+    leading, named = leading_tokens(title(a), title(b)), common_tokens(title(a), title(b))
+    own, other = F.size(a["stable"]), F.size(b["stable"])
+    common = common_tokens(a["stable"], b["stable"])
+    share = F.coalesce(F.try_divide(common, F.greatest(own, other)), F.lit(0.0))
+    enough = F.when(leading > 0, (common >= F.least(F.lit(2), own)) & (share >= LEADING_SHARE)).otherwise((common >= 3) & (share >= SHARE))
+    # The weights of the score.
+    score = leading * 10000 + F.round(share * 1000).cast("long") + common * 100 - F.abs(own - other) * 10 + F.when(same_extension, 5).otherwise(0)
+    return F.when((own > 0) & (other > 0) & (named > 0) & enough, score)
 
 
 def next_episodes(files: DataFrame) -> DataFrame:

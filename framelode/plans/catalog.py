@@ -377,10 +377,16 @@ def entity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("decoded"))
 
 
-@_query()
+def _strip_sql(column: str) -> str:
+    lines = rf"regexp_replace({column}, '(?i)<(?:[^<>]*<)*\s*(?:br/?|/?p)\s*>', chr(10), 'g')"
+    plain = _entity_sql(f"regexp_replace({lines}, '<[^>]*(>|$)', '', 'g')")
+    return rf"array_to_string(list_filter(list_transform(string_split({plain}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
+
+
+@_query(f"SELECT page_id, {_strip_sql('html')} AS plain FROM pages")
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the tag state machine."""
-    return _table(spark, sf_dir, "pages").select("page_id", text.strip_html("html").alias("plain"))
+    """tags out, line tags as line ends, entities, blank lines."""
+    return _table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
 @_query("SELECT lang, CASE WHEN replace(lower(lang), '_', '-') LIKE 'zh%' THEN 'zh' ELSE split_part(replace(lower(lang), '_', '-'), '-', 1) END AS base, count(*) AS n, CASE WHEN lang IN ('zh', 'ja', 'ko') THEN 22 WHEN lang IN ('hi', 'ar') THEN 36 ELSE 42 END AS width FROM documents GROUP BY lang")
@@ -389,27 +395,32 @@ def base_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", text.base_language(F.col("lang")).alias("base"), "n", text.line_width(F.col("lang")).alias("width"))
 
 
-@_query()
+@_query(r"""
+WITH v AS (SELECT doc_id, translate(coalesce(text, ''), chr(13) || chr(10) || chr(9), '   ') AS v, CASE WHEN lang IN ('zh', 'ja', 'ko') THEN 22 WHEN lang IN ('hi', 'ar') THEN 36 ELSE 42 END AS width FROM documents),
+m AS (SELECT *, length(v) AS n, length(v) // 2 AS mid FROM v),
+s AS (SELECT *, CASE WHEN contains(substr(v, 1, mid + 1), ' ') THEN mid + 1 - strpos(reverse(substr(v, 1, mid + 1)), ' ') END AS a, CASE WHEN contains(substr(v, mid + 2), ' ') THEN mid + strpos(substr(v, mid + 2), ' ') END AS b FROM m),
+c AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL THEN least(width, (n + 1) // 2) WHEN b IS NULL OR mid - a <= b - mid THEN a ELSE b END AS k FROM s)
+SELECT doc_id, CASE WHEN n <= width THEN v ELSE rtrim(substr(v, 1, k), ' ') || CASE WHEN ltrim(substr(v, k + 1), ' ') <> '' THEN chr(10) || ltrim(substr(v, k + 1), ' ') ELSE '' END END AS wrapped FROM c""")
 def wrap_two_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the first sentence of each document, wrapped."""
-    own = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.split_part("text", F.lit("."), F.lit(1)), F.lit("")).alias("s"), text.line_width(F.col("lang")).alias("width"))
+    """whole documents as one cue each, wrapped."""
+    own = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("s"), F.coalesce(text.line_width(F.col("lang")), F.lit(42)).alias("width"))
     return own.select("doc_id", text.wrap_two_lines("s", "width").alias("wrapped"))
 
 
-_SRT = "lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0')"
+_SRT = "lpad((ms // 3600000)::VARCHAR, greatest(2, length((ms // 3600000)::VARCHAR))::INTEGER, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0')"
 
 
 def _event_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir).filter("us < 1704326400000000")
+    ev = _events(spark, sf_dir)
     return ev.join(F.broadcast(_events(spark, sf_dir).agg(F.min("us").alias("first")))).select("event_id", ((F.col("us") - F.col("first")) / 1e6).alias("s"))
 
 
-_SECONDS = "s AS (SELECT event_id, ((us - (SELECT min(us) FROM ev)) / 1e6)::DOUBLE AS s FROM ev WHERE us < 1704326400000000)"
+_SECONDS = "s AS (SELECT event_id, ((us - (SELECT min(us) FROM ev)) / 1e6)::DOUBLE AS s FROM ev)"
 
 
 @_query(f"WITH {_EV}, {_SECONDS}, m AS (SELECT *, round(s * 1000)::BIGINT AS ms, floor(s + 0.5)::BIGINT AS w FROM s) SELECT event_id, {_SRT} AS srt, CASE WHEN w >= 3600 THEN (w // 3600)::VARCHAR || ':' ELSE '' END || lpad((w // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((w % 60)::VARCHAR, 2, '0') AS clock FROM m")
 def srt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times of the first four days."""
+    """Times since the first event, of over 100 hours, too."""
     return _event_seconds(spark, sf_dir).select("event_id", text.srt_time(F.col("s")).alias("srt"), text.media_time(F.col("s")).alias("clock"))
 
 
@@ -470,17 +481,33 @@ def dim_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH v AS (SELECT vec_id, least(1, abs(embedding[1]::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, pow(e, 1 / 78.84375) AS p FROM v)
-SELECT vec_id, round(10000 * pow(greatest(p - 0.8359375, 0) / (18.8515625 - 18.6875 * p), 1 / 0.1593017578125), 4) AS nits FROM p""")
+WITH i AS (SELECT vec_id, unnest(range(0, 21)) AS i, embedding FROM embeddings),
+c AS (SELECT vec_id, i, unnest([0, 1, 2]) AS k, least(1, greatest(0, embedding[3 * i + 1 + unnest([0, 1, 2])]::DOUBLE)) AS e FROM i),
+p AS (SELECT *, pow(e, 1 / 78.84375) AS p FROM c),
+n AS (SELECT *, 10000 * pow(greatest(p - 0.8359375, 0) / (18.8515625 - 18.6875 * p), 1 / 0.1593017578125) AS n FROM p),
+w AS (SELECT vec_id, i, max(n) FILTER (k = 0) AS r, max(n) FILTER (k = 1) AS g, max(n) FILTER (k = 2) AS b FROM n GROUP BY ALL),
+l AS (SELECT vec_id, i, greatest(0, 1.660496 * r - 0.587656 * g - 0.072840 * b) / 203 AS r, greatest(0, -0.124547 * r + 1.132895 * g - 0.008348 * b) / 203 AS g, greatest(0, -0.018154 * r - 0.100597 * g + 1.118751 * b) / 203 AS b FROM w),
+y AS (SELECT *, 0.2126 * r + 0.7152 * g + 0.0722 * b AS y FROM l),
+s AS (SELECT *, CASE WHEN y > 1e-6 THEN (1 + y / pow(1000.0 / 203, 2)) / (1 + y) ELSE 0 END AS s FROM y)
+SELECT vec_id, i, round(pow(least(1, r * s), 1 / 2.2::DOUBLE), 6) AS r, round(pow(least(1, g * s), 1 / 2.2::DOUBLE), 6) AS g, round(pow(least(1, b * s), 1 / 2.2::DOUBLE), 6) AS b FROM s""")
 def tone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The perceptual quantiser's light of a code value."""
-    return _pcm(spark, sf_dir).select("vec_id", F.round(audio.pq_nits(F.least(F.lit(1.0), F.abs(F.get("x", F.lit(0))))), 4).alias("nits"))
+    """Every three values of a vector as one picture element."""
+    rgb = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct(i.cast("long").alias("i"), audio.tone_map(F.slice("x", i * 3 + 1, F.lit(3))).alias("c")))
+    out = _pcm(spark, sf_dir).select("vec_id", F.explode(rgb).alias("p"))
+    return out.select("vec_id", "p.i", *[F.round(F.get("p.c", F.lit(k)), 6).alias(n) for k, n in enumerate("rgb")])
 
 
 @_query("""
-WITH p AS (SELECT p_partkey, p_size * 16 AS w, (51 - p_size) * 9 AS h FROM part), s AS (SELECT *, least(1920.0 / w, 1080.0 / h) AS k FROM p)
-SELECT p_partkey, greatest(1, round(w * k))::BIGINT AS out_w, greatest(1, round(h * k))::BIGINT AS out_h, ((1920 - greatest(1, round(w * k))::BIGINT) // 2)::BIGINT AS x, ((1080 - greatest(1, round(h * k))::BIGINT) // 2)::BIGINT AS y FROM s""")
+WITH p AS (SELECT p_partkey, p_size * 16 - 32 AS w, (51 - p_size) * 9 AS h, CASE WHEN p_partkey % 7 = 0 THEN 1000.0::DOUBLE ELSE (p_partkey % 40) / 16.0::DOUBLE END AS a FROM part),
+q AS (SELECT *, w * CASE WHEN a BETWEEN 0.01 AND 100 THEN a ELSE 1 END / h AS shape FROM p),
+f AS (SELECT *, CASE WHEN w <= 0 OR h <= 0 OR shape > 1920.0::DOUBLE / 1080 THEN 1920 ELSE greatest(1, least(1920, round(1080 * shape))) END::BIGINT AS out_w,
+  CASE WHEN w <= 0 OR h <= 0 OR NOT shape > 1920.0::DOUBLE / 1080 THEN 1080 ELSE greatest(1, least(1080, round(1920 / shape))) END::BIGINT AS out_h FROM q)
+SELECT p_partkey, out_w, out_h, (1920 - out_w) // 2 AS x, (1080 - out_h) // 2 AS y FROM f""")
 def letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part sizes as frames, fitted into 1920 x 1080."""
-    p = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 16).alias("w"), ((51 - F.col("p_size")) * 9).alias("h"))
-    return p.select("p_partkey", *audio.letterbox(F.col("w"), F.col("h"), F.lit(1.0), 1920, 1080))
+    """Part sizes as frames, fitted into 1920 x 1080, with sizes and aspects that are none."""
+    aspect = F.when(F.col("p_partkey") % 7 == 0, 1000.0).otherwise((F.col("p_partkey") % 40) / 16.0)
+    p = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 16 - 32).alias("w"), ((51 - F.col("p_size")) * 9).alias("h"), aspect.alias("a"))
+    return p.select("p_partkey", *audio.letterbox(F.col("w"), F.col("h"), F.col("a"), 1920, 1080))
+
+
+from framelode.plans import media, scalars  # noqa: E402, F401 (they register their queries)

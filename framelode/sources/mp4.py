@@ -192,7 +192,7 @@ def parse(data: bytes) -> list[tuple[dict, dict[str, np.ndarray]]]:
     return out
 
 
-_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
 def _schema(ddl: str) -> pa.Schema:

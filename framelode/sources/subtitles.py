@@ -17,8 +17,7 @@ from framelode.functions.text import srt_time, strip_tags
 MOST_BYTES = 64 << 20
 LAST_SECONDS = 5.0
 CUES = "path string, seq long, start double, end double, text string"
-_TIME = re.compile(r"\s*([0-9]+):([0-9]+):([0-9]+)(?:[,.]([0-9]+))?\s*\Z", re.A)
-_ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]
+_TIME = re.compile(r"([0-9]+):([0-9]+):([0-9]+)(?:[,.]([0-9]{0,3}).*)?\Z", re.A | re.S)
 
 
 def decode(content: bytes) -> str:
@@ -35,16 +34,10 @@ def decode(content: bytes) -> str:
 
 
 def seconds(value: str) -> float | None:
-    m = _TIME.match(value)
+    m = _TIME.match(value.strip())
     if not m or int(m[2]) > 59 or int(m[3]) > 59:
         return None
-    return int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3]) + int((m[4] or "0")[:3].ljust(3, "0")) / 1000
-
-
-def _plain(text: str) -> str:
-    for name, sign in _ENTITIES:
-        text = re.sub(name, lambda _, s=sign: s, text, flags=re.I)
-    return strip_tags(text)
+    return int(m[1]) * 3600 + int(m[2]) * 60 + int(m[3]) + int((m[4] or "").ljust(3, "0")) / 1000
 
 
 def srt(text: str) -> list[tuple[float, float, str]]:
@@ -55,14 +48,15 @@ def srt(text: str) -> list[tuple[float, float, str]]:
         at += 1
         if not arrow:
             continue
-        start, end = seconds(before), seconds(after.removeprefix(" ").partition(" ")[0])
+        # settings follow the first space or tab that is not the very first sign
+        start, end = seconds(before), seconds(after[:1] + re.split("[ \t]", after[1:], maxsplit=1)[0])
         if start is None or end is None:
             continue
         body = []
         while at < len(lines) and lines[at].strip():
             body.append(lines[at])
             at += 1
-        out.append((start, end, _plain("\n".join(body))))
+        out.append((start, end, strip_tags("\n".join(body))))
     return out
 
 
@@ -78,7 +72,7 @@ def ass(text: str) -> list[tuple[float, float, str]]:
         start, end = seconds(parts[1]), seconds(parts[2])
         if start is not None and end is not None:
             body = re.sub(r"\\h", " ", re.sub(r"\\[Nn]", "\n", re.sub(r"\{[^}]*(\}|\Z)", "", parts[9])))
-            out.append((start, end, _plain(body)))
+            out.append((start, end, strip_tags(body)))
     return out
 
 
@@ -88,7 +82,7 @@ def smi(text: str) -> list[tuple[float, float, str]]:
     out = []
     for i, (_, begin, start) in enumerate(marks):
         stop, end = (marks[i + 1][0], marks[i + 1][2]) if i + 1 < len(marks) else (len(text), start + LAST_SECONDS)
-        out.append((start, end, _plain(text[begin:stop])))
+        out.append((start, end, strip_tags(text[begin:stop])))
     return out
 
 
@@ -105,6 +99,11 @@ def parse(path: str, content: bytes) -> list[tuple[float, float, str]]:
     return []
 
 
+def problems(files: DataFrame) -> DataFrame:
+    """(path, error) of the files that `cues` gives nothing for because of their size."""
+    return files.filter(F.length("content") > MOST_BYTES).select("path", F.lit(f"larger than {MOST_BYTES} bytes").alias("error"))
+
+
 def cues(files: DataFrame) -> DataFrame:
     """(path, seq, start, end, text) of every file of (path, content)."""
 

@@ -57,14 +57,14 @@ def test_mp4_errors():
 
 
 def test_subtitles(spark):
-    srt = "1\r\n00:00:01,5 --> 00:00:02,250\r\n<i>a</i>&amp;lt;b\r\nc\r\n\r\n00:01.000 --> 00:02.000\nno hours\n\n2\n1:00:00.000 --> 1:00:01.000 x\n  \n"
+    srt = "1\r\n00:00:01,5 --> 00:00:02,250\r\n<i>a</i>&amp;lt;b\r\nc\r\n\r\n00:01.000 --> 00:02.000\nno hours\n\n2\n1:00:00.000 --> 1:00:01.000\tx\ntab<br >\n<BR>\n  \n"
     ass = "[Events]\nDialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\b1}hi\\Nthere, you\n"
     smi = "<SYNC Start=1000><P>one<SYNC Start=2000><P>&nbsp;<sync start=3000>two"
     rows = [("a.srt", srt.encode()), ("b.ass", b"\xff\xfe" + ass.encode("utf-16-le")), ("c.smi", smi.encode()), ("d.srt", "00:00:01,0 --> 00:00:02,0\n한글".encode("cp949")), ("e.txt", ass.encode())]
     got = {}
     for r in subtitles.cues(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")).collect():
         got.setdefault(r.path, []).append((r.start, r.end, r.text))
-    assert got["a.srt"] == [(1.5, 2.25, "a")]
+    assert got["a.srt"] == [(1.5, 2.25, "a<b\nc"), (3600.0, 3601.0, "tab")]
     assert got["b.ass"] == got["e.txt"] == [(1.0, 2.0, "hi\nthere, you")]
     assert got["c.smi"] == [(1.0, 2.0, "one"), (3.0, 8.0, "two")]
     assert got["d.srt"] == [(1.0, 2.0, "한글")]
