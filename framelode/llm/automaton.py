@@ -12,6 +12,8 @@ import numpy as np
 _DIGITS = frozenset(range(48, 58))
 _WORDS = _DIGITS | frozenset(range(65, 91)) | frozenset(range(97, 123)) | {95}
 _ANY = frozenset(range(256)) - {10}
+#: A state's rules are the bits of one number.
+MOST_RULES = 64
 
 
 class _Parser:
@@ -183,6 +185,8 @@ class Dfa:
     @staticmethod
     def of(trees: list, anywhere: bool) -> Dfa:
         """anywhere: a match may begin at any byte."""
+        if len(trees) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} rules in one automaton")
         nfa = _Nfa()
         start = nfa.state()
         if anywhere:
@@ -215,7 +219,7 @@ class Dfa:
                     order.append(target)
                 row.append(index[target])
             rows.append(row)
-        accept = np.array([sum({ends[s] for s in own if s in ends}) for own in order], np.uint32)
+        accept = np.array([sum({ends[s] for s in own if s in ends}) for own in order], np.uint64)
         return Dfa._least(kinds, np.array(rows, np.int32), accept)
 
     @staticmethod
@@ -232,7 +236,7 @@ class Dfa:
         for p in part.tolist():  # the start stays state 0
             order.setdefault(p, len(order))
         name = np.array([order[p] for p in part.tolist()])
-        out, ends = np.zeros((len(order), move.shape[1]), np.int32), np.zeros(len(order), np.uint32)
+        out, ends = np.zeros((len(order), move.shape[1]), np.int32), np.zeros(len(order), np.uint64)
         out[name], ends[name] = name[move], accept
         idle = [s for s in range(len(out)) if not ends[s] and (out[s] == s).all()]
         return Dfa(kinds, out, ends, idle[0] if idle else -1)
@@ -250,6 +254,40 @@ class Dfa:
         return best
 
 
+    def holds_itself(self) -> bool:
+        """Whether a first match may hold another one that begins after its first byte and ends before its last."""
+        # of the inner match: -1 not begun, -2 ended, else its state
+        start = (0, -1, False)
+        seen, todo = {start}, [start]
+        while todo:
+            outer, inner, begun = todo.pop()
+            if self.accept[outer]:
+                continue
+            for kind in range(self.move.shape[1]):
+                new = int(self.move[outer, kind])
+                if new == self.dead:
+                    continue
+                after = []
+                if inner == -2:
+                    if self.accept[new]:
+                        return True
+                    after = [-2]
+                elif inner == -1:
+                    after = [-1] + ([int(self.move[0, kind])] if begun else [])
+                else:
+                    after = [int(self.move[inner, kind])]
+                for own in after:
+                    if own >= 0 and self.accept[own]:
+                        own = -2
+                    if own == self.dead and own >= 0:
+                        continue
+                    state = (new, own, True)
+                    if state not in seen:
+                        seen.add(state)
+                        todo.append(state)
+        return False
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -274,6 +312,9 @@ class Scanner:
         self.ends = Dfa.of(first, anywhere=True)
         self.back = [Dfa.of([_reverse(t)], anywhere=False) for t in first]
         self.on = [Dfa.of([t], anywhere=False) for t in trees]
+        for rule, tree in zip(rules, first, strict=True):
+            if Dfa.of([tree], anywhere=False).holds_itself():
+                raise ValueError(f"a match of {rule.kind!r} may begin later and end before another one")
         same = (self.ends.move == self.ends.move[:1]).all(0)  # kinds that lead to one state from everywhere
         self.resets = same[self.ends.kinds]
         if not self.resets[self.BREAK]:
@@ -287,7 +328,7 @@ class Scanner:
         """
         n = len(data)
         if not n:
-            return np.empty(0, np.int64), np.empty(0, np.uint32)
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
         kinds, move, accept = self.ends.kinds, self.ends.move.reshape(-1).astype(np.int32), self.ends.accept
         width = self.ends.move.shape[1]
         size = max(256, n // 16384)
@@ -316,7 +357,7 @@ class Scanner:
                 places.append(where[on] + 1)
                 bits.append(hit[on])
         if not places:
-            return np.empty(0, np.int64), np.empty(0, np.uint32)
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
         places, bits = np.concatenate(places), np.concatenate(bits)
         order = np.argsort(places, kind="stable")
         return places[order], bits[order]
@@ -329,7 +370,7 @@ class Scanner:
         text = np.searchsorted(offsets[:-1], places - 1, "right") - 1
         raw: dict[int, bytes] = {}
         for rule in range(len(self.rules)):
-            own = np.flatnonzero(bits >> np.uint32(rule) & np.uint32(1))
+            own = np.flatnonzero(bits >> np.uint64(rule) & np.uint64(1))
             past, before = -1, 0
             for place, i in zip(places[own].tolist(), text[own].tolist(), strict=True):
                 begin = int(offsets[i])

@@ -128,7 +128,7 @@ def _spans(data: np.ndarray, offsets: np.ndarray, windows: Windows):
 
 def _blocks(bench: DataFrame, block_words: int, window: int) -> list[Broadcast]:
     """The items in blocks of bounded size, read one after the other."""
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null")
+    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text is not null").distinct()
     sizes = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-sizes // (4 * block_words)))
     shared = []

@@ -13,8 +13,12 @@ decides, however rare e and t are: a term is marked wherever it stands in a docu
 Since c is n_e at most, no term in more than N^(1-g) n_e^g documents reaches a disclosure of g: such terms are left out before pairs
 are made, which changes no result.
 
-Null text: empty, no spans. Repeated rows: each gets its spans and counts as a document. Null doc_id: as any other row. An entity in
-all documents carries no information and reveals nothing. Empty table: no rows. Only doc_id and text are read.
+`sanitise` puts an entity's kind in its place, takes out what is to be removed, and generalises a term to what it looks like: "[name]"
+where it begins with a capital letter, else "[term]".
+
+Null text: empty, no spans, and it stays null. Repeated rows: each gets its spans and counts as a document. Null doc_id: as any other row. An entity in
+all documents carries no information and reveals nothing. Empty table: no rows. `find_personal_data` reads
+doc_id and text alone; `sanitise_documents` keeps all columns, whatever their names. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -111,16 +115,18 @@ def _entities(docs: DataFrame) -> DataFrame:
     def find(batches):
         for whole in batches:
             for batch in C.sliced([whole], 1):
-                found, entities, words = [], [], []
+                found, entities, words, own, plain = [], [], [], [], []
                 for text in batch.column(1):
                     text = text.as_py() or ""
                     spans = base_spans(text)
+                    own.append(text if spans else None)
+                    plain.append(None if spans else hashlib.sha256(text.encode()).hexdigest())
                     found.append([{"start": a, "end": b, "rank": k, "kind": KINDS[k]} for a, k, b in spans])
                     entities.append(sorted({_entity(k, text[a:b]) for a, k, b in spans}))
                     words.append(_free_words(text, spans) if spans else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.int64())), pa.array(words, pa.list_(_WORD))], names=["doc_id", "found", "entities", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN)), pa.array(entities, pa.list_(pa.int64())), pa.array(words, pa.list_(_WORD)), pa.array(own, pa.string()), pa.array(plain, pa.string())], names=["doc_id", "found", "entities", "words", "own", "plain"])
 
-    return docs.mapInArrow(find, "doc_id long, found array<struct<start:long,end:long,rank:int,kind:string>>, entities array<long>, words array<struct<term:long,start:long,end:long>>")
+    return docs.mapInArrow(find, "doc_id long, found array<struct<start:long,end:long,rank:int,kind:string>>, entities array<long>, words array<struct<term:long,start:long,end:long>>, own string, plain string")
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -145,7 +151,10 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """One row per row of docs: doc_id, found: array of (start, end, rank, kind) of base kinds and of revealing terms, sorted."""
+    """One row per row of docs: doc_id, found: array of (start, end, rank, kind) of base kinds and of revealing terms, sorted.
+
+    own is the text where it holds an entity, else null, and plain then its SHA-256: texts without entities are not carried along.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = C.cut(_entities(texts).withColumn("row", F.monotonically_increasing_id()), "entities")
     total = rows.count()
@@ -171,19 +180,46 @@ def find_personal_data(docs: DataFrame, generalise_at: float = GENERALISE_AT, re
     terms = words.join(marked, ["row", "term"]).select("row", span.alias("s")).groupBy("row").agg(F.collect_list("s").alias("terms"))
     every = F.concat("found", F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,end:bigint,rank:int,kind:string>>)")))
     ordered = F.transform(F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind")))
-    return rows.join(terms, "row", "left").select("doc_id", ordered.alias("found"))
+    return rows.join(terms, "row", "left").select("doc_id", ordered.alias("found"), "own", "plain")
+
+
+_FOUND = "array<struct<start:long,end:long,rank:int,kind:string>>"
+
+
+def cleaned(found: DataFrame) -> DataFrame:
+    """`find_personal_data` with clean, the sanitised text, null where there is nothing to do."""
+
+    def clean(batches):
+        for whole in batches:
+            for batch in C.sliced([whole], 2):
+                new = [None if t is None else sanitise(t, f) for t, f in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(new, pa.string())], names=["doc_id", "found", "plain", "clean"])
+
+    return found.select("doc_id", "found", "own", "plain").mapInArrow(clean, f"doc_id long, found {_FOUND}, plain string, clean string")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns of `find_personal_data`."""
-    return found.select("doc_id", *map(count_of, KINDS), F.sha2(listed(F.col("found"), KINDS), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    """The contract's columns of `find_personal_data`, and the SHA-256 of the sanitised text."""
+    return cleaned(found).select("doc_id", *map(count_of, KINDS), F.sha2(listed(F.col("found"), KINDS), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), F.coalesce(F.sha2("clean", 256), "plain").alias("sanitised_sha256"))
 
 
 def sanitise(text: str, found: list) -> str:
-    """The text without its marked spans: entities and generalised terms leave their kind, removed terms leave nothing."""
+    """The text without its marked spans: entities leave their kind, generalised terms what they look like, removed terms nothing."""
     out, at = [], 0
     for x in found:
         if x["start"] >= at:
-            out += [text[at : x["start"]], "" if x["kind"] == "remove" else "[term]" if x["kind"] == "generalise" else f"[{x['kind']}]"]
+            shape = "[name]" if text[x["start"]].isupper() else "[term]"
+            out += [text[at : x["start"]], "" if x["kind"] == "remove" else shape if x["kind"] == "generalise" else f"[{x['kind']}]"]
         at = max(at, x["end"])
     return "".join(out) + text[at:]
+
+
+def sanitise_documents(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    """The documents with their texts sanitised, all columns kept; n_chars, where there is one, follows the text."""
+    keyed = C.cut(C.packed(docs).select("row", F.monotonically_increasing_id().alias("key")), "documents")
+    found = find_personal_data(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), generalise_at, remove_at)
+    new = cleaned(found).filter("clean is not null").select(F.col("doc_id").alias("key"), "clean")
+    row = F.col("row").withField("text", F.col("clean"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("clean").cast(docs.schema["n_chars"].dataType))
+    return C.unpacked(keyed.join(new, "key", "left").select(F.when(F.col("clean").isNull(), F.col("row")).otherwise(row).alias("row")))

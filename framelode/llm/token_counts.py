@@ -4,6 +4,9 @@ The pre-tokens of a text (the pieces that byte-pair encoding never joins) are th
 characters and tokens below it. An edit finds its block by characters, splits the text anew from a little before the edit until the
 new pieces fall into step with the old ones, encodes those pieces alone, and updates the sums on the way up.
 
+Trees outlive a run: `store` gives each document's leaves as a table, and `update` applies a table of edits to stored trees and the texts
+they were made from, so a later run encodes what its edits touch and nothing else.
+
 The vocabulary is a file of ranks on the driver, named by a parameter and broadcast; counts of pieces are kept in a bounded table.
 Null text counts as empty: 0 tokens. Repeated rows are counted alike; an empty table gives no rows; very long texts and pieces are
 counted whole. Only doc_id and text are read.
@@ -21,6 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from .pii import KINDS, base_spans
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -181,3 +185,51 @@ def count_tokens(docs: DataFrame, edits: Callable[[str], list[tuple[int, int, st
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "n_pieces", "n_tokens", "n_edits", "n_tokens_edited", "n_encoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, n_pieces long, n_tokens long, n_edits long, n_tokens_edited long, n_encoded long")
+
+
+_STORED = "doc_id long, lengths array<int>, tokens array<int>, n_tokens long"
+
+
+def store(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """Each row's tree as the characters and tokens of its leaves in order: doc_id, lengths, tokens, n_tokens. docs: doc_id, text."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+
+    def plant(batches):
+        counter = Counter(ranks.value, pattern)
+        for whole in batches:
+            for batch in C.sliced([whole], 1):
+                leaves = [counter.leaves(t.as_py() or "") for t in batch.column(1)]
+                lists = [pa.array([[x[k] for x in own] for own in leaves], pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array([sum(t for _, t in own) for own in leaves], pa.int64())], names=["doc_id", "lengths", "tokens", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(plant, _STORED)
+
+
+def update(stored: DataFrame, docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """Stored trees after edits, with the edited texts: of each document that edits name doc_id, text, lengths, tokens, n_tokens, n_encoded.
+
+    stored: as `store` gives it. docs: doc_id, text, of which it was made, doc_id unique. edits: doc_id, start, end, new, by places of the
+    old text, without overlap; they are put in order. Documents without edits are not read beyond the join and not returned.
+    """
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    todo = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("edits"))
+    rows = todo.join(docs.select("doc_id", "text"), "doc_id").join(stored, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lengths", "tokens", "edits")
+
+    def apply(batches):
+        counter = Counter(ranks.value, pattern)
+        for whole in batches:
+            for batch in C.sliced([whole], 1):
+                out = []
+                for text, lengths, tokens, own in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    text, tree, encoded, shift = text or "", Tree(zip(lengths, tokens, strict=True)), 0, 0
+                    for e in own:
+                        text, n = edit(tree, counter, text, e["start"] + shift, e["end"] + shift, e["new"])
+                        encoded += n
+                        shift += len(e["new"]) - (e["end"] - e["start"])
+                    leaves = [x for block in tree.blocks for x in block]
+                    out.append((text, [c for c, _ in leaves], [t for _, t in leaves], tree.total, encoded))
+                columns = list(zip(*out, strict=True)) or [[]] * 5
+                kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", "text", "lengths", "tokens", "n_tokens", "n_encoded"])
+
+    return rows.mapInArrow(apply, "doc_id long, text string, lengths array<int>, tokens array<int>, n_tokens long, n_encoded long")

@@ -1,6 +1,7 @@
 """Toxicity: a support vector machine over a gapped subsequence kernel with Nyström landmarks, trained on labelled documents.
 
-A text falls into units: its words without ASCII punctuation, A-Z folded, where consecutive pieces of one letter are one unit. The
+A text falls into units: its words without ASCII punctuation, A-Z folded, where consecutive pieces of one letter are one unit. A word
+that spaces split into longer pieces is several units and is not put together again. The
 kernel of two units counts the subsequences of ORDER bytes that both hold within SPAN bytes (the ends count as bytes), weighted by
 DECAY for each byte skipped, over the root of both units' own weights: "idiot", "i-d-i-o-t", "idxiot" stay close.
 

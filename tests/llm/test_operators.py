@@ -116,6 +116,31 @@ def test_secrets(spark):
     assert d[0].spans == "" and d[1].spans == "github:0:40"
 
 
+@pytest.mark.parametrize("rule", ["abcd|bc", "a[bc]*d|bb", "x(ab)+y|ba"])
+def test_rules_that_hold_themselves_are_refused(rule):
+    with pytest.raises(ValueError, match="may begin later"):
+        Scanner([Rule("x", rule)])
+
+
+def test_many_rules():
+    rules = [Rule(f"r{i}", f"k{i:02d}[a-z]+") for i in range(64)]
+    data = np.frombuffer(b"k63abc k00x k33y k64z", np.uint8)
+    assert Scanner(rules).spans(data, np.array([0, len(data)])) == [[(0, 7, 11), (33, 12, 16), (63, 0, 6)]]
+    with pytest.raises(ValueError, match="more than 64"):
+        Scanner([*rules, Rule("r64", "k64[a-z]+")])
+
+
+def test_further_kinds_and_redaction(spark):
+    texts = {"xoxb-123456-abcdef": "slack", "AIza" + "a" * 35: "google", "sk_live_" + "a1" * 12: "stripe", "-----BEGIN RSA PRIVATE KEY-----": "private", "gho_" + "b" * 36: "github"}
+    docs = spark.createDataFrame([(i, f"é <{t}> end") for i, t in enumerate(texts)] + [(9, "xoxb-1 AIzaShort")] * 2, "doc_id long, text string")
+    got = [(r.doc_id, r.found) for r in secret_scan.find_secrets(docs).collect()]
+    for i, (t, kind) in enumerate(texts.items()):
+        (span,) = [x for x in got[i][1] if x.kind == kind]
+        assert (span.start, span.end) == (3, 3 + len(t))
+        assert secret_scan.redact(f"é <{t}> end", [span]) == f"é <[{kind}]> end"
+    assert got[5:] == [(9, []), (9, [])]
+
+
 def test_automaton_is_least():
     a = Scanner([Rule("x", "(ab|cb)c+")]).ends
     b = Scanner([Rule("x", "[ac]bc+")]).ends
@@ -172,6 +197,83 @@ def test_revealing_terms_far_from_their_entity(spark):
     assert "zorblax" not in pii.sanitise(rows[0][1], got.found)
 
 
+def test_sanitised_documents(spark):
+    rows = [(i, f"the Zorblax wrote from me@x.org today again {i}") for i in range(4)] + [(i, f"the day they wrote from went on and on today again word{i}") for i in range(8, 60)] + [(60, None), (61, ""), (61, "")]
+    got = {r.doc_id: r for r in pii.sanitise_documents(table(spark, rows)).collect()}
+    assert got[0].text == "the  wrote from [email] today again 0" and got[0].n_chars == len(got[0].text) and got[0].row == "r"
+    assert got[8].text == rows[4][1] and got[60].text is None and got[61].text == ""
+    assert pii.sanitise_documents(table(spark, rows)).count() == len(rows) and pii.sanitise_documents(table(spark, [])).count() == 0
+    import hashlib
+
+    digest = {r.doc_id: r.sanitised_sha256 for r in pii.digest(pii.find_personal_data(table(spark, rows))).collect()}
+    assert all(digest[i] == hashlib.sha256((got[i].text or "").encode()).hexdigest() for i in got)
+    assert pii.sanitise("Ann and bob", [{"start": 0, "end": 3, "kind": "generalise"}, {"start": 8, "end": 11, "kind": "generalise"}]) == "[name] and [term]"
+
+
+def test_stored_trees(spark):
+    rnd = random.Random(61)
+    docs = table(spark, [(i, prose(rnd, rnd.choice([0, 5, 300])) if i else None) for i in range(12)])
+    stored = C.cut(token_counts.store(docs), "trees")
+    texts, edits = {r.doc_id: r.text or "" for r in docs.collect()}, []
+    for i in range(0, 12, 2):
+        at = 0
+        while at <= len(texts[i]):
+            edits.append((i, at, min(len(texts[i]), at + rnd.choice([0, 3])), rnd.choice(["", " x", "it's ", "\n"])))
+            at += rnd.randint(5, 400)
+    rnd.shuffle(edits)
+    got = {r.doc_id: r for r in token_counts.update(stored, docs, spark.createDataFrame(edits, "doc_id long, start int, end int, new string")).collect()}
+    counter = token_counts.Counter(token_counts.read_ranks(token_counts.VOCABULARY))
+    assert set(got) == set(range(0, 12, 2))
+    for i, r in got.items():
+        text, shift = texts[i], 0
+        for _, a, b, new in sorted(e for e in edits if e[0] == i):
+            text = text[: a + shift] + new + text[b + shift :]
+            shift += len(new) - (b - a)
+        assert r.text == text and list(zip(r.lengths, r.tokens)) == counter.leaves(text) and r.n_tokens == len(counter.encoding.encode_ordinary(text))
+    again = token_counts.store(docs.sparkSession.createDataFrame([(r.doc_id, r.text) for r in got.values()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.tokens for r in again} == {i: r.tokens for i, r in got.items()}
+
+
+def kernel(a, b):
+    """The gapped subsequence kernel of two words by their places: all choices of ORDER bytes within SPAN."""
+    from itertools import combinations
+
+    def features(word):
+        own, out = b"\1" + word.encode() + b"\2", {}
+        for places in combinations(range(len(own)), toxicity.ORDER):
+            if places[-1] - places[0] < toxicity.SPAN:
+                key = bytes(own[p] for p in places)
+                out.setdefault(key, []).append(toxicity.DECAY ** (places[-1] - places[0] + 1 - toxicity.ORDER))
+        return out
+
+    x, y = features(a), features(b)
+    own = lambda f: math.sqrt(sum(w * w for v in f.values() for w in v))
+    return sum(sum(x[k]) * sum(y[k]) for k in x.keys() & y.keys()) / max(own(x) * own(y), 1e-9)
+
+
+def test_kernel_and_folded_table_as_by_direct_sums():
+    words = ["idiot", "idxiot", "moron", "mo-ron".replace("-", ""), "abcdefgh", "aaaaaa", "hello", "ab"]
+    marks = ["idiot", "moron", "banana"]
+    streams = [toxicity.units(*C.utf8(pa.array([" ".join(x)]))) for x in (words, marks)]
+    got = toxicity._kernel(streams[0][0], streams[0][1], streams[1][0], streams[1][1])
+    for i, a in enumerate(words):
+        for j, b in enumerate(marks):
+            assert got[i, j] == pytest.approx(kernel(a, b), abs=1e-5)
+    theta = np.array([0.7, -0.4, 0.2])
+    beta = theta / toxicity._norms(streams[1][1])
+    weight = np.zeros(1 << toxicity.TABLE_BITS, np.float32)
+    for place, valid, d in toxicity._features(streams[1][0], streams[1][1]):
+        np.add.at(weight, place[valid], d * np.repeat(beta, np.diff(streams[1][1]))[: len(place)][valid])
+    scores = toxicity.Model(weight, 0.25, np.zeros(5)).unit_scores(streams[0][0], streams[0][1])
+    assert scores == pytest.approx(got @ theta + 0.25, abs=1e-4)
+
+
+def test_equal_texts_score_alike(spark):
+    docs = table(spark, [(i, "the same words again") for i in range(6)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    assert len({r.score for r in toxicity.score(docs, labels).collect()}) == 1
+
+
 def test_toxicity(spark, odd):
     rnd = random.Random(7)
     bad = ["idiot", "moron", "scumbag", "worthless"]
