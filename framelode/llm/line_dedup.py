@@ -6,8 +6,9 @@ more form groups, as many as there are: two templates are alike if they have the
 the places in which the templates of a group differ are its variable fields.
 
 Alike templates of n tokens differ in d = n - ceil(SIMILAR n) places at most, so of d + 1 bands (places with the same remainder by
-d + 1) they share one in full. In each band, templates with the same tokens there are compared with the least of them (by hash), and
-connected components over the pairs found alike are the groups: no template is compared with all others, and a group may chain.
+d + 1) they share one in full. In each band, templates with the same tokens there are compared with the least of them (by hash); where
+they do not all come together by that, alike ones that are still apart are found by their rarest tokens (`_rest`). The groups are the
+connected components over all alike pairs, so a group may chain.
 
 A template recurs if it occurs in two documents or more and has MIN_TOKENS tokens, or if its group occurs in two or more, or if it is of
 any length and occurs COMMON times over two documents or more. Of a recurring template or group the first line stays (smallest doc_id,
@@ -33,6 +34,10 @@ MIN_TOKENS = 8
 COMMON = 20
 #: Alike: differing places are at most this many percent.
 OTHER_PERCENT = 20
+#: Pairs a row up to which templates that share a token are compared at once; rows of one side of a block; bits kept of a token's hash.
+PAIRS_A_ROW = 16
+BLOCK_ROWS = 4096
+BITS = (0, 8, 16, 24)
 
 _DIGIT_TOKEN = rf"(?<![^{C.SPACE}])[^{C.SPACE}0-9]*+[0-9][^{C.SPACE}]*"
 _OTHER_SPACE = "\t\x0b\x0c\r"
@@ -74,6 +79,12 @@ def _alike(a: str, b: str) -> Column:
     return 100 * other <= OTHER_PERCENT * F.size(a)
 
 
+def _confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) of templates that are alike; own: template, t."""
+    x, y = own.select(F.col("template").alias("a"), F.col("t").alias("x")), own.select(F.col("template").alias("b"), F.col("t").alias("y"))
+    return pairs.join(x, "a").join(y, "b").filter(F.size("x") == F.size("y")).filter(_alike("x", "y")).select(*pairs.columns)
+
+
 def _groups(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """(template, component) of templates that are alike another one of their leaf. A template's tokens decide its leaf."""
     full = templates.filter("full")
@@ -81,10 +92,88 @@ def _groups(lines: DataFrame, templates: DataFrame) -> DataFrame:
     own = C.cut(lines.filter("t is not null").join(many, "leaf").select("leaf", "template", "t").dropDuplicates(["leaf", "template"]), "templates")
     keys = C.cut(own.select("leaf", "template", F.explode(_bands(F.col("t"))).alias("b")).select("leaf", "b.band", "b.part", "template"), "keys")
     least = C.cut(keys.groupBy("leaf", "band", "part").agg(F.min("template").alias("least"), F.max("template").alias("most")).filter("least < most").select("leaf", "band", "part", "least"), "bands")
-    pairs = keys.join(least, ["leaf", "band", "part"]).filter("template <> least").select("template", "least").distinct()
-    one = own.select(F.col("template"), F.col("t").alias("x"))
-    both = pairs.join(one, "template").join(one.select(F.col("template").alias("least"), F.col("x").alias("y")), "least")
-    return connected_components(both.filter(F.size("x") == F.size("y")).filter(_alike("x", "y")).select("template", "least"), "groups").select(F.col("node").alias("template"), "component")
+    shared = C.cut(keys.join(least, ["leaf", "band", "part"]).select("leaf", "band", "part", "template", "least"), "shared")
+    pairs = shared.filter("template <> least").select(F.col("template").alias("a"), F.col("least").alias("b")).distinct()
+    first = C.cut(connected_components(_confirmed(pairs, own), "groups"), "first")
+    rest = _rest(shared, first, own)
+    groups = first
+    if rest is not None and rest.first() is not None:
+        groups = connected_components(first.toDF("a", "b").unionByName(rest), "groups")
+    return groups.select(F.col("node").alias("template"), "component")
+
+
+def _rest(shared: DataFrame, groups: DataFrame, own: DataFrame) -> DataFrame | None:
+    """Links (a, b) between groups, enough to bring all alike templates together; None: groups meet in no band, or in no token.
+
+    Alike templates of different groups share a band in which groups meet. Of their tokens by place, put in one order (those that no
+    other group has, then the rare ones first), they share one of the first d + 1. Where that leaves many pairs, links with one template
+    of each such token come first, as often as they halve what is left; then each template outside a token's largest group is compared
+    with all others there.
+    """
+    member = shared.join(groups.select(F.col("node").alias("template"), "component"), "template", "left").select("leaf", "band", "part", "template", F.coalesce("component", "template").alias("component"))
+    several = member.groupBy("leaf", "band", "part").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("leaf", "band", "part")
+    apart = C.cut(member.join(several, ["leaf", "band", "part"]).select("template", "component").distinct(), "apart")
+    if apart.first() is None:
+        return None
+    front, found, before = C.cut(_fronts(apart.join(own, "template")), "fronts"), None, None
+    while True:
+        parts = front.groupBy("token", "component").agg(F.count("*").alias("n"))
+        total = parts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main")).filter("parts > 1")
+        total = C.cut(total.select("token", "n", F.col("main.component").alias("main"), (F.col("n") - F.col("main.n")).alias("few")), "tokens")
+        left, size = total.agg(F.sum(F.col("n").cast("double") * F.col("few")), F.sum("n")).first()
+        if left is None:
+            return found
+        whole = left <= PAIRS_A_ROW * size or (before is not None and 2 * left > before)
+        links = C.cut(_confirmed(_pairs(front, total) if whole else _stars(front, total), own).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "rest")
+        found = links if found is None else found.unionByName(links)
+        if whole:
+            return found
+        now = C.cut(connected_components(links, "groups"), "labels").select(F.col("node").alias("component"), F.col("component").alias("label"))
+        front = C.cut(front.join(now, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label"), "fronts")
+        before = left
+
+
+def _fronts(apart: DataFrame) -> DataFrame:
+    """token (a leaf's, by place), template, component, other (places that may differ), bits: the first other + 1 tokens of each template."""
+    bits = lambda k: F.expr(f"aggregate(transform(slice(t, {DEPTH + 1}, 64), (x, i) -> shiftleft(cast(shiftright(x, {k}) & 1 as bigint), i)), 0L, (a, b) -> a | b)")
+    texts = C.cut(apart.select("leaf", "template", "component", F.floor(F.size("t") * OTHER_PERCENT / 100).cast("int").alias("other"), (F.size("t") - DEPTH).alias("n"), *[bits(k).alias(f"bits{k}") for k in BITS], "t"), "texts")
+    # the leading tokens are the leaf's
+    held = texts.select("leaf", "template", "component", F.posexplode(F.slice("t", DEPTH + 1, F.col("n"))).alias("at", "x")).select("template", "component", F.xxhash64("leaf", "at", "x").alias("token"))
+    crossing = held.groupBy("token").agg(F.count("*").alias("f"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token", "f")
+    order = held.join(C.cut(crossing, "crossing"), "token").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("c"))
+    few = F.greatest(F.lit(0), F.col("other") + 1 - (F.col("n") - F.size("c")))
+    return texts.drop("t").join(order, "template").select("template", "component", "other", *[f"bits{k}" for k in BITS], F.explode(F.slice("c", F.lit(1), few)).alias("c")).withColumn("token", F.col("c.token")).drop("c")
+
+
+def _may_be_alike() -> Column:
+    """Tokens differ where bits of their hashes do; in the first 64 places after the leading ones."""
+    differ = F.lit(0).cast("long")
+    for k in BITS:
+        differ = differ.bitwiseOR(F.col(f"x.bits{k}").bitwiseXOR(F.col(f"y.bits{k}")))
+    return (F.col("x.component") != F.col("y.component")) & (F.bit_count(differ) <= F.col("x.other"))
+
+
+_LINK = ("x.template as a", "y.template as b", "x.component as ca", "y.component as cb")
+
+
+def _stars(front: DataFrame, total: DataFrame) -> DataFrame:
+    """Pairs (a, b, ca, cb) of each token's other templates with one outside its largest group."""
+    meeting = front.join(total, "token")
+    one = C.cut(meeting.filter("component <> main").groupBy("token").agg(F.min_by(F.struct(*[c for c in front.columns if c != "token"]), F.xxhash64("template", "component")).alias("x")), "stars")
+    every = front.select("token", F.struct(*[c for c in front.columns if c != "token"]).alias("y"))
+    return every.join(one, "token").filter(_may_be_alike()).selectExpr(*_LINK).distinct()
+
+
+def _pairs(front: DataFrame, total: DataFrame) -> DataFrame:
+    """Pairs (a, b, ca, cb) of each token's templates outside its largest group with all others, in blocks."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
+    meeting = front.join(total, "token").select("token", F.struct(*[c for c in front.columns if c != "token"]).alias("x"), "main", blocks("n").alias("all_blocks"), blocks("few").alias("few_blocks"), F.xxhash64("template").alias("spread"))
+    dealt = lambda n: F.pmod("spread", n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = meeting.filter("x.component <> main").select("token", "x", dealt("few_blocks").alias("i"), each("all_blocks").alias("j"))
+    every = meeting.select("token", F.col("x").alias("y"), (F.col("x.component") == F.col("main")).alias("largest"), each("few_blocks").alias("i"), dealt("all_blocks").alias("j"))
+    once = F.col("largest") | (F.col("x.template") < F.col("y.template"))
+    return few.join(every, ["token", "i", "j"]).filter(once & _may_be_alike()).selectExpr(*_LINK).distinct()
 
 
 def _recurring(lines: DataFrame) -> DataFrame:

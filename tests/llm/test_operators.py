@@ -543,6 +543,57 @@ def test_line_dedup_as_by_brute_force(spark):
         assert got[doc].n_dropped == len(drop) and got[doc].n_lines == (0 if text is None else text.count("\n") + 1)
 
 
+def test_line_dedup_links_templates_that_the_least_of_their_band_is_unlike(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = [a + b for a in letters for b in letters]
+    # eight places, of which one may differ: all lines share the band of the odd places, a pair differs in the fifth place
+    line = lambda x, y: f"posted by the user {x} in {y} today"
+    rows = [(i, line(word[i], f"own{word[i]}")) for i in range(60)]
+    rows += [(100 + i, line(f"left{word[i // 2 * 2]}" if i % 2 else f"right{word[i]}", f"pair{word[i // 2]}")) for i in range(40)]
+    left = {r.doc_id for r in line_dedup.deduplicate_lines(table(spark, rows)).collect()}
+    assert left == {*range(60), *range(100, 140, 2)}
+
+
+def groups_by_all_pairs(lines):
+    """For each line (a list of tokens, one line a document) the first line of its group, by comparing all pairs."""
+    full = [len(t) >= line_dedup.MIN_TOKENS for t in lines]
+    first = list(range(len(lines)))
+
+    def find(i):
+        while first[i] != i:
+            i = first[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            if full[i] and len(x) == len(y) and x[:3] == y[:3] and 100 * sum(a != b for a, b in zip(x, y)) <= 20 * len(x):
+                a, b = sorted((find(i), find(j)))
+                first[b] = a
+    return [find(i) for i in range(len(lines))]
+
+
+@pytest.mark.parametrize("pairs, block", [(16, 4096), (0, 5)])
+def test_line_dedup_groups_as_by_all_pairs(spark, monkeypatch, pairs, block):
+    monkeypatch.setattr(line_dedup, "PAIRS_A_ROW", pairs)
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", block)
+    rnd = random.Random(31)
+    lines = []
+    # (tokens, words at each place, lines): sparse leaves with few links, and dense ones that chain; one longer than the kept bits
+    for n, words, many in ((8, 8, 120), (9, 12, 60), (12, 3, 150), (16, 2, 150), (21, 2, 100), (30, 2, 60)):
+        lines += [["at", "the", "end", *(f"w{'abcdefghijkl'[rnd.randrange(words)]}" for _ in range(n - 3))] for _ in range(many)]
+    long = ["at", "the", "end", *prose(rnd, 97).split()]
+    for i in range(40):
+        own = list(long)
+        for k in rnd.sample(range(3, 100), 11 if i % 2 else 30):
+            own[k] = rnd.choice(["yes", "no"])
+        lines.append(own)
+    rnd.shuffle(lines)
+    first = groups_by_all_pairs(lines)
+    assert 50 < sum(a != i for i, a in enumerate(first)) < len(lines) - 50
+    left = {r.doc_id for r in line_dedup.deduplicate_lines(table(spark, [(i, " ".join(t)) for i, t in enumerate(lines)])).collect()}
+    assert left == {i for i, a in enumerate(first) if a == i}
+
+
 def test_two_families_in_one_leaf_among_unrelated_lines(spark):
     rnd = random.Random(22)
     one = "alpha beta gamma the first family has a long tail of words here".split()
